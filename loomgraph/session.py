@@ -91,3 +91,25 @@ class Scratch:
             local = path.removeprefix("file://").removeprefix("file:")
             if os.path.isdir(local):
                 shutil.rmtree(local, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, where their path doesn't lead to it already (it does
+    if the repository is in PYTHONPATH or is the working directory of a local session)."""
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in paths or spark.sparkContext.master.startswith("local[") and Path.cwd() == root:
+        return
+    if any("loomgraph-code" in str(f) for f in spark.sparkContext._python_includes):
+        return
+    made = tempfile.mkdtemp(prefix="loomgraph-code-")
+    atexit.register(shutil.rmtree, made, True)
+    target = f"{made}/loomgraph-code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "loomgraph").rglob("*")):
+            if f.suffix in (".py", ".txt", ".json"):
+                z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(target)  # the driver serves it to every executor
