@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, mixing, rank_walk
+from loomgraph.llm import bpe, docpairs, handwritten, mixing, parsing, rank_walk, residue
 from loomgraph.sources.tables import table
 
 SCORES = ("in_degree", "out_degree", "pagerank", "usage_score")
@@ -37,5 +37,48 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p7_ids, p8_mix, p8_shares)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.refused(table(spark, d, "source_files", "file_id", "file_path", "content")).select("file_id").distinct()
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """First error per file: file_id, language, error_line."""
+    return parsing.refused(table(spark, d, "source_files", "file_id", "file_path", "content")).distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(table(spark, d, "source_files", "file_id", "repo", "file_path", "content"), table(spark, d, "manifest"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files", "file_id", "repo", "content")).select("file_id")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files", "file_id", "repo", "content"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    cols = ("type", "name", "qualified_name", "signature", "doc_comment", "file_path", "start_line")
+    nodes = rank_walk.newest(table(spark, d, "nodes", "id", "built_at", *cols), "id", "built_at", cols)
+    return docpairs.documented(nodes, table(spark, d, "source_files", "file_path", "content"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("id")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_ranking, p3_found, p3_errors, p3_rates, p4_found, p4_reasons, p5_found, p5_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_reasons)}
 ORACLE: dict[str, str] = {}
