@@ -46,7 +46,8 @@ def resolve_ts(pending: DataFrame, nodes: DataFrame) -> DataFrame:
 def resolve_sol(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """By name among the kinds that the edge asks for, the first wins; INFERRED across files."""
     kinds = F.when(F.col("type") == "Event", "emits_event").when(F.col("type") == "Modifier", "has_modifier").when(F.col("type") == "Mapping", "writes_mapping")
-    index = nodes.where(F.col("type").isin(*SOL_KINDS)).groupBy(kinds.alias("edge_type"), F.col("name").alias("target_qname")).agg(F.min(F.struct("file_ord", "ord", "id", "file_path")).alias("x"))
+    key = F.when(F.col("type") == "Mapping", F.concat("name", F.lit(":mapping"))).otherwise(F.col("name"))
+    index = nodes.where(F.col("type").isin(*SOL_KINDS)).groupBy(kinds.alias("edge_type"), key.alias("target_qname")).agg(F.min(F.struct("file_ord", "ord", "id", "file_path")).alias("x"))
     index = index.select("edge_type", "target_qname", F.col("x.id").alias("dst"), F.col("x.file_path").alias("dst_file"))
     src = nodes.select(F.col("id").alias("src_id"), F.col("file_path").alias("src_file"))
     j = pending.join(index, ["edge_type", "target_qname"]).join(src, "src_id", "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph import evaluate
+from loomgraph import evaluate, pipeline
 from loomgraph.functions import expr as X
 from loomgraph.graph import PropertyGraph, dangling, distinct_edges, domain_violations
 from loomgraph.operators import community, context, lookup, packages, resolve, score, text, traverse
@@ -655,6 +655,29 @@ def build_stats(spark, d):
     return _g(spark, d).nodes.groupBy("language").agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("file_path").alias("n_files"))
 
 
+def _parsed(spark, d) -> DataFrame:
+    return pipeline.parse_files(table(spark, d, "source_files", "file_path", "content").dropDuplicates(["file_path"]))
+
+
+@query()
+def parse_nodes(spark, d):
+    """Nodes of all source files by kind and language."""
+    n = _parsed(spark, d).select(F.inline("nodes"))
+    return n.groupBy("language", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def parse_errors(spark, d):
+    return _parsed(spark, d).where("error is not null").select("file_path", "language", "error")
+
+
+@query()
+def parse_resolved(spark, d):
+    """Edges of all source files after resolution, by type."""
+    g, _ = pipeline.resolve_parsed(_parsed(spark, d))
+    return g.edges.groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 _SYM = "list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[ ,\\n\"`]+'), lambda w: contains(w, '.') AND NOT starts_with(w, '.') AND NOT ends_with(w, '.')), lambda w: trim(w, '.:;()'))"
