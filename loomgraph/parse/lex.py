@@ -97,7 +97,7 @@ def go(src: str) -> Tokens:
             w = m.group()
             if w in "([{":
                 if w == "{" and clauses and clauses[-1] == depth:
-                    if last in ("struct", "interface"):
+                    if last in ("struct", "interface") or _literal_type(kind):
                         pass
                     elif funcs and funcs[-1] == depth and len(funcs) and funcs[-1] >= clauses[-1] and _func_open(kind, begin, clauses, funcs):
                         funcs.pop()
@@ -127,6 +127,29 @@ def go(src: str) -> Tokens:
     return t
 
 
+def _literal_type(kind: list[str]) -> bool:
+    """Do the tokens end with a type that only a composite literal can follow: []T, [n]T, map[K]V or
+    a struct type?"""
+    i = len(kind) - 1
+    if i >= 0 and kind[i] == "}":
+        depth = 0
+        for j in range(i, -1, -1):
+            depth += (kind[j] == "}") - (kind[j] in ("{", "BLK"))
+            if depth == 0:
+                return j > 0 and kind[j - 1] == "struct"
+        return False
+    while i >= 0 and kind[i] in ("IDENT", ".", "*"):
+        i -= 1
+    if i < 0 or kind[i] != "]" or i == len(kind) - 1:
+        return False
+    depth = 0
+    for j in range(i, -1, -1):
+        depth += (kind[j] == "]") - (kind[j] == "[")
+        if depth == 0:
+            return j == 0 or kind[j - 1] not in ("IDENT", ")", "]", "STR", "}")
+    return False
+
+
 def _func_open(kind: list[str], begin: list[int], clauses: list[int], funcs: list[int]) -> bool:
     """Is a func of this depth newer than the clause keyword?"""
     for k in reversed(kind):
@@ -144,7 +167,7 @@ _JS = re.compile(
     r"(?P<ws>[ \t\v\f\xa0﻿  -   　]+)|(?P<nl>[\n\r  ])|(?P<com>//[^\n\r  ]*|/\*.*?\*/)|(?P<id>" + _JS_ID + r")|(?P<priv>\#" + _JS_ID + ")"
     r"|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+)n?(?![\w$])|(?:\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)(?![\w$]))"
     r'|(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|\'(?:[^\'\\\n\r]|\\(?:\r\n|.))*\')'
-    "|(?P<op>" + _ops("{ } ( ) [ ] ... . ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? : = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= => @") + r"|\?\.(?!\d))",
+    r"|(?P<op>\?\.(?!\d)|" + _ops("{ } ( ) [ ] ... . ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? : = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= => @") + ")",
     re.S,
 )
 _JS_TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
