@@ -32,9 +32,17 @@ def _linked(states: list[int]) -> _Stack:
 
 
 def _feed(tables: Tables, tops: list[_Stack], kind: str) -> tuple[list[_Stack], bool]:
-    """All stacks after ``kind``, and whether one accepts."""
-    action, goto, rules = tables.action, tables.goto, tables.rules
+    """All stacks after ``kind``, and whether one accepts; its second kind where the first leads on
+    nowhere."""
     second = SECOND.get(kind)
+    out, done = _step(tables, tops, kind, second)
+    if not out and not done and second is not None:
+        out, done = _step(tables, tops, second, None)
+    return out, done
+
+
+def _step(tables: Tables, tops: list[_Stack], kind: str, second: str | None) -> tuple[list[_Stack], bool]:
+    action, goto, rules = tables.action, tables.goto, tables.rules
     out: dict[tuple[int, int], _Stack] = {}
     seen: dict[tuple[int, int], _Stack] = {}
     todo = list(tops)
@@ -96,8 +104,12 @@ def parse(tables: Tables, toks: lex.Tokens, semicolons: bool) -> int | None:
             while True:
                 s = states[-1]
                 a = action[s].get(kind)
-                if a is None and second is not None:
-                    a = action[s].get(second)
+                if second is not None:
+                    b = action[s].get(second)
+                    if a is None:
+                        a = b
+                    elif b is not None:
+                        a = (a,)  # both kinds may lead on
                 if a.__class__ is int:
                     if a >= 0:
                         states.append(a)
