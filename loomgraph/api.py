@@ -67,7 +67,7 @@ class Graph:
         return lookup.tool_shape(text.search(self.nodes, self.postings, query, top_k, rank, language))
 
     def context_for_task(self, task: str, budget_tokens: int = context.BUDGET, language: str | None = None, include_blobs: bool = True, max_bodies: int = context.BODIES) -> dict:
-        cand = text.search(self.nodes, self.postings, task, context.CANDIDATES, "bm25", language).select("id", "rank")
+        cand = context.pinned(text.search(self.nodes, self.postings, task, context.CANDIDATES, "bm25", language))
         if not cand.limit(1).count():
             return {"not_found": True, "bodies": [], "summaries": [], "subgraph": [], "tokens": (len(task.encode()) + 3) // 4, "trimmed": False}
         best = context.fuse(self.nodes, context.expand(cand, self.edges), cand)

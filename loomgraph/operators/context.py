@@ -11,6 +11,13 @@ from loomgraph.operators import lookup
 CANDIDATES, KEEP, BODIES, SUMMARIES, BUDGET = 30, 30, 5, 15, 8000
 
 
+def pinned(candidates: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """The candidates (id, rank) as a small local table: at most ``most`` rows come to the driver, so
+    that the search runs once and not in every step that needs them."""
+    rows = candidates.select("id", "rank").orderBy("rank").limit(most).collect()
+    return candidates.sparkSession.createDataFrame([(r.id, r["rank"]) for r in rows], "id string, rank int")
+
+
 def expand(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids of the candidates (columns id, rank) and of the nodes beside them."""
     touching = lookup.incident(edges, candidates)

@@ -14,6 +14,7 @@ from loomgraph.functions import expr as X
 from loomgraph.graph import PropertyGraph, dangling, distinct_edges, domain_violations
 from loomgraph.operators import community, context, lookup, packages, resolve, score, text, traverse
 from loomgraph.schema import BLOCK_TYPES, CALL_TYPES, COMMUNITY_TYPES, CONFIDENCES, DECLARATION_TYPES, EDGE_COLS, EDGE_TYPES, MANIFEST_KEYS, NODE_COLS, NODE_TYPES
+from loomgraph.session import Scratch
 from loomgraph.sources import store, tree
 from loomgraph.sources.tables import table
 
@@ -425,7 +426,8 @@ best AS (SELECT nx.*, round(0.5 * coalesce(1.0::DOUBLE / rank, 0) + 0.3 * pr / p
 
 def _best(spark, d):
     g = _g(spark, d)
-    cand = text.search(g.nodes, _index(g), _TASK, context.CANDIDATES).select("id", "rank")
+    index = Scratch(spark, "postings").save(_index(g))  # as a persisted graph has it
+    cand = context.pinned(text.search(g.nodes, index, _TASK, context.CANDIDATES))
     return g, context.fuse(g.nodes, context.expand(cand, g.edges), cand)
 
 
