@@ -69,6 +69,25 @@ reach AS (
   SELECT tree, resolution, p AS a, c AS n FROM l
   UNION SELECT r.tree, r.resolution, r.a, l.c FROM reach r JOIN l ON l.tree = r.tree AND l.resolution = r.resolution AND l.p = r.n)
 SELECT tree, resolution, a AS node_id FROM reach WHERE a = n""",
+    "p2_hierarchy": f"""
+WITH RECURSIVE {_LINKS},
+l AS (SELECT * FROM links WHERE p IS NOT NULL AND c IS NOT NULL AND p <> c),
+nodes_ AS (SELECT tree, resolution, c AS n FROM links WHERE c IS NOT NULL UNION SELECT tree, resolution, p FROM links WHERE c IS NOT NULL AND p IS NOT NULL),
+roots AS (
+  SELECT tree, resolution, n FROM nodes_ WHERE (tree, resolution, n) NOT IN (SELECT tree, resolution, c FROM l)
+  UNION SELECT tree, resolution, c FROM links WHERE p IS NULL AND c IS NOT NULL),
+r AS (
+  SELECT tree, resolution, n, 0 AS d FROM roots
+  UNION SELECT r.tree, r.resolution, l.c, r.d + 1 FROM r JOIN l ON l.tree = r.tree AND l.resolution = r.resolution AND l.p = r.n WHERE r.d < 150),
+lv AS (SELECT tree, resolution, n, min(d) AS depth FROM r GROUP BY 1, 2, 3),
+pa AS (
+  SELECT k.tree, k.resolution, k.n, min(l.p) AS p FROM lv k JOIN l ON l.tree = k.tree AND l.resolution = k.resolution AND l.c = k.n
+  JOIN lv q ON q.tree = l.tree AND q.resolution = l.resolution AND q.n = l.p AND q.depth = k.depth - 1 GROUP BY 1, 2, 3),
+pt AS (
+  SELECT tree, resolution, n, CAST(NULL AS VARCHAR) AS up, [n] AS path FROM lv WHERE depth = 0
+  UNION ALL SELECT pa.tree, pa.resolution, pa.n, pa.p, list_append(pt.path, pa.n) FROM pa JOIN pt ON pt.tree = pa.tree AND pt.resolution = pa.resolution AND pt.n = pa.p)
+SELECT tree, resolution, n AS node_id, up AS parent_id, path[1] AS root_id, CAST(len(path) - 1 AS INTEGER) AS depth, path
+FROM nodes_ LEFT JOIN pt USING (tree, resolution, n)""",
     "p2_descendants": f"""
 WITH RECURSIVE {_LINKS},
 l AS (SELECT * FROM links WHERE p IS NOT NULL AND c IS NOT NULL),
