@@ -235,12 +235,12 @@ def test_declarations():
     assert {(d.name, d.line, d.doc) for d in docpairs.declarations("sol", sol)} == {("a", 4, "@notice Locks it.\nTwice is an error."), ("m", 6, None)}
 
 
-@pytest.mark.parametrize("doc", ["Returns nil after Close.", "Panics on a nil vault.", "TODO: speed this up. loadVault copies every vault first.", "nolint:x\nOverflow wraps silently past 63 bits.", "@param v the stale vault to start from", "빈 vault 이면 오류 대신 기본값을 돌려준다.", "Verwirft Einträge, die älter als 5 Runden sind.", "Deprecated: ignores limits; prefer storeVault.", "See the note on vaults: the lock given here is freed on return."])
+@pytest.mark.parametrize("doc", ["Returns nil after Close.", "Panics on a nil vault.", "TODO: speed this up. loadVault copies every vault first.", "nolint:x\nOverflow wraps silently past 63 bits.", "@notice TODO: speed this up. loadVault copies every vault first.", "@dev Rejects a vault that was signed twice.", "@param v the stale vault to start from", "빈 vault 이면 오류 대신 기본값을 돌려준다.", "Verwirft Einträge, die älter als 5 Runden sind.", "Deprecated: ignores limits; prefer storeVault.", "See the note on vaults: the lock given here is freed on return."])
 def test_informative(doc):
     assert docpairs.informative(doc, "loadVault", "func loadVault(...)")
 
 
-@pytest.mark.parametrize("doc", [None, "", "  \n", "TODO", "FIXME add docs", "loadVault", "loadVault loads vault.", "Loads the vault.", "This function loads vaults.", "@param vault", "@param vault the vault", "@returns", "go:noinline", "eslint-disable-next-line no-empty", "----------", "if ok { return vault; }", "return nil, err", "vault.load(x)", "see above", "{@link storeVault}", "Copyright 2022 the authors. All rights are kept by them and their heirs.", "SPDX-License-Identifier: X", "Beschreibung folgt.", "설명 추가 예정", "Description of the function.", "#region loadVault", "*", "...", "<p></p>", "tbd", "helper"])
+@pytest.mark.parametrize("doc", [None, "", "  \n", "TODO", "FIXME add docs", "loadVault", "loadVault loads vault.", "Loads the vault.", "This function loads vaults.", "@param vault", "@param vault the vault", "@returns", "@dev", "@notice loadVault", "@notice TODO: document", "go:noinline", "eslint-disable-next-line no-empty", "----------", "if ok { return vault; }", "return nil, err", "vault.load(x)", "see above", "{@link storeVault}", "Copyright 2022 the authors. All rights are kept by them and their heirs.", "SPDX-License-Identifier: X", "Beschreibung folgt.", "설명 추가 예정", "Description of the function.", "#region loadVault", "*", "...", "<p></p>", "tbd", "helper"])
 def test_trivial(doc):
     assert not docpairs.informative(doc, "loadVault", "func loadVault(...)")
 
