@@ -253,9 +253,41 @@ def paths(links: DataFrame, group: Sequence[str], parent: str, child: str, kerne
     )
 
 
-def descendants(links: DataFrame, group: Sequence[str], parent: str, child: str, tree: DataFrame | None = None) -> DataFrame:
+def _start_kernel(frames):
+    """Links between nodes on cycles in one task -> (g, c): the smallest id of each component that
+    no link from another one enters."""
+    pairs: list[tuple] = []
+    for f in frames:
+        pairs += [((g, p), (g, c)) for g, p, c in zip(f["g"], f["p"], f["c"], strict=True)]
+    comps = strong_components(pairs)
+    of = {n: i for i, comp in enumerate(comps) for n in comp}
+    entered = {of[b] for a, b in pairs if of[a] != of[b]}
+    hit = [min(comp) for i, comp in enumerate(comps) if i not in entered]
+    yield pd.DataFrame({"g": [g for g, _ in hit], "c": [c for _, c in hit]}, dtype=object)
+
+
+def _rootless(links: DataFrame, lost: DataFrame, names: Sequence[str], scratch: Scratch, kernel_links: int) -> DataFrame:
+    """``paths`` (g, group values, n, up, path) of the nodes in ``lost`` (g, n), which no root reaches.
+
+    All their parents are lost too, so each is on or below a cycle that nothing else enters.  Such a
+    cycle's smallest node stands in for the root; where the links between nodes on cycles are too
+    many for one task, each of these nodes does, which costs rounds later but changes no pair.
+    """
+    own = scratch.save(links.join(lost.select("g", F.col("n").alias("c")), ["g", "c"], "left_semi"))
+    plain = own.select("p", "c", F.col("g").alias("k"), *names)
+    cyclic = scratch.save(cycle_nodes(plain, ["k", *names], "p", "c", kernel_links).select(F.col("k").alias("g"), F.col("node_id").alias("n"), *names))
+    inner = scratch.save(own.where("p <> c").select("g", "p", "c").join(cyclic.select("g", F.col("n").alias("p")), ["g", "p"], "left_semi").join(cyclic.select("g", F.col("n").alias("c")), ["g", "c"], "left_semi").distinct())
+    starts = cyclic
+    if inner.count() <= kernel_links:
+        starts = cyclic.join(inner.coalesce(1).mapInPandas(_start_kernel, "g string, c string").withColumnRenamed("c", "n"), ["g", "n"], "left_semi")
+    rooted = plain.union(starts.select(F.lit(None).cast("string"), "n", "g", *names))
+    return paths(rooted, ["k", *names], "p", "c", kernel_links).select(F.col("k").alias("g"), *names, F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path")
+
+
+def descendants(links: DataFrame, group: Sequence[str], parent: str, child: str, tree: DataFrame | None = None, rootless: bool = False, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """One row (``group`` columns, ``ancestor_id``, ``node_id``) for each node and each of its
-    proper ancestors by any rows, among the nodes that a root reaches; a node on a cycle is its own.
+    proper ancestors by any rows; a node on a cycle is its own.  Only ancestors that a root reaches
+    have rows, unless ``rootless``: then all nodes have, those on and below cycles without a root too.
 
     Ancestor pairs along the tree come out of the paths.  Links outside the tree (second parents,
     links back) are few; their closure is found level by level over the links themselves and then
@@ -267,8 +299,13 @@ def descendants(links: DataFrame, group: Sequence[str], parent: str, child: str,
     tree = paths(links, group, parent, child) if tree is None else tree
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in group]) if group else F.lit("")
     flat = scratch.save(tree.where("depth is not null").select(key.alias("g"), *[F.col(x).alias(y) for x, y in zip(group, names, strict=True)], F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path"))
+    linked = _plain(links, group, parent, child).where("p is not null")
+    if rootless:
+        lost = scratch.save(tree.where("depth is null").select(key.alias("g"), F.col("node_id").alias("n")))
+        if lost.limit(1).count():
+            flat = flat.unionByName(scratch.save(_rootless(linked, lost, names, scratch, kernel_links)))
     self_and_up = scratch.save(flat.select("g", F.explode("path").alias("a"), "n"))
-    plain = _plain(links, group, parent, child).where("p is not null").select("g", "p", "c").distinct()
+    plain = linked.select("g", "p", "c").distinct()
     known = flat.select("g", F.col("n").alias("c"), "up")
     extra = plain.join(known, ["g", "c"]).where("up is null or p <> up").join(flat.select("g", F.col("n").alias("p")), ["g", "p"], "left_semi").select("g", F.col("p").alias("a"), F.col("c").alias("n"))
     extra = scratch.save(extra)

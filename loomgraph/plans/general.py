@@ -27,7 +27,7 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(tree_links(spark, d), ["tree", "resolution"], "parent_id", "child_id")
+    return hierarchy.descendants(tree_links(spark, d), ["tree", "resolution"], "parent_id", "child_id", rootless=True)
 
 
 def clean_edges(spark: SparkSession, d: str) -> DataFrame:

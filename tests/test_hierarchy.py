@@ -90,3 +90,38 @@ def test_random(spark):
     names = [f"n{i}" for i in range(14)]
     rows = [(r.choice("tu"), r.choice(names) if r.random() < 0.95 else None, r.choice(names)) for _ in range(18)]
     check(spark, rows, h.KERNEL_LINKS)
+
+
+ROOTLESS = [
+    ("t", "p", "q"), ("t", "q", "p"), ("t", "q", "z"), ("t", "z", "y"),  # a cycle alone and what hangs below
+    ("t", "z", "u"), ("t", "u", "v"), ("t", "v", "u"), ("t", "v", "v"),  # a second cycle below the first
+    ("t", "r", "a"), ("t", "a", "b"), ("t", "q", "b"), ("t", "b", "c"),  # b below a root and below the cycle
+    (None, "p", "q"), (None, "q", "p"), ("s", "p", "q"),
+]
+
+
+@pytest.mark.parametrize("kernel", [h.KERNEL_LINKS, 0])
+def test_descendants_without_a_root(spark, kernel):
+    kids = {}
+    for g, p, c in ROOTLESS:
+        kids.setdefault((g, p), set()).add(c)
+    want = set()
+    for g, a in kids:
+        todo = [a]
+        while todo:
+            for c in kids.get((g, todo.pop()), ()):
+                if (g, a, c) not in want:
+                    want.add((g, a, c))
+                    todo.append(c)
+    got = h.descendants(df(spark, ROOTLESS), ["tree"], "parent_id", "child_id", rootless=True, kernel_links=kernel).collect()
+    assert {(r.tree, r.ancestor_id, r.node_id) for r in got} == want and len(got) == len(want)
+    assert {("t", "p", "p"), ("t", "z", "y"), ("t", "p", "c"), (None, "q", "q")} <= want
+
+
+def test_query_has_descendants_of_every_node(spark, tmp_path):
+    from loomgraph.plans import general
+
+    spark.createDataFrame([(p, c) for _, p, c in ROOTLESS[:4]], "parent_id string, child_id string").write.parquet(f"{tmp_path}/pkg_tree.parquet")
+    spark.createDataFrame([("r", "a", 0)], "parent_id string, child_id string, resolution int").write.parquet(f"{tmp_path}/topic_tree.parquet")
+    got = {(r.ancestor_id, r.node_id) for r in general.p2_descendants(spark, str(tmp_path)).collect()}
+    assert got == {("r", "a"), ("z", "y")} | {(a, n) for a in "pq" for n in "pqzy"}
