@@ -4,14 +4,15 @@ From an item the walk picks a score (by weight, equal by default) and jumps unif
 that this score ranks at least as high; with probability 1 - damping it starts anew anywhere.  Items
 are ordered by their stationary probability.  Only ranks enter, so no score decides by its range.
 
-The walk sees a score through ``levels`` rank levels, cut at sampled quantiles; equal values always
-share a level, and a score with fewer distinct values than levels is seen exactly.  An item's inflow
-is then a sum of one number per score and level, so the mass of a level after a step follows from
-the masses before it and from how many items share a pair of levels.  These counts are taken in one
-pass; the power iteration with its sorted prefix sums runs over 4 x levels numbers and never again
-over the items.  The size of the count tables is bounded by the parameter alone: at most
-scores * (scores - 1) / 2 * (levels + 1)^2 cells.  Items of equal probability are ordered by their
-mean place within levels, then by id.
+All distinct values of every score count.  Items of equal scores are one state.  The states lie in
+blocks, cut and sorted by the score with most distinct values; a step sends each block's total
+along and adds prefix sums within blocks, so no task sees all states.  The other scores' inflows, one
+number per distinct value, are summed over blocks and sent to the tasks with each step: what the
+driver holds grows with the distinct values of the second widest score, not with the items.  Items of
+equal probability are ordered by their mean place among the known values of their scores, then by id.
+
+With ``levels`` given, the walk sees a score only through so many rank levels, cut at sampled
+quantiles; that is another, coarser walk, which iterates over 4 x levels numbers on the driver.
 
 Unknown scores (null, NaN, below 0) are neutral: by such a score an item receives the mean inflow,
 and the walk leaves it uniformly to any item.
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 
 from loomgraph.session import Scratch
 
-LEVELS = 512
+#: States that one block may hold, about 20 MB.
+BLOCK = 200_000
 DAMPING = 0.85
 TOLERANCE = 1e-12
 MAX_STEPS = 500
@@ -81,7 +83,142 @@ def stationary(counts: dict[tuple[int, int], np.ndarray], single: list[np.ndarra
     return g
 
 
-def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[float] | None = None, levels: int = LEVELS, damping: float = DAMPING) -> DataFrame:
+def _blocks(states: DataFrame, main: int, rest: Sequence[int], values: dict[int, np.ndarray], spark) -> DataFrame:
+    """One row per block of states, ordered by score ``main``: arrays as bytes."""
+    n = states.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // BLOCK))
+    ordered = states.repartitionByRange(parts, f"s{main}").sortWithinPartitions(f"s{main}")
+
+    def pack(frames):
+        all_ = [f for f in frames if len(f)]
+        if not all_:
+            return
+        f = pd.concat(all_)
+        v, n = f[f"s{main}"].to_numpy(dtype=float), f["n"].to_numpy(dtype=float)
+        gone = np.isnan(v)
+        # a block of its own for the unknown, which has no place in the order
+        for part, at in ((0, gone), (1, ~gone)):
+            if not at.any():
+                continue
+            u, w = np.unique(v[at], return_inverse=True) if part else (np.array([-1.0]), np.zeros(int(at.sum()), dtype=int))
+            out = {"low": [u[0]], "value": [u.tobytes()], "w": [w.astype("int32").tobytes()], "n": [n[at].tobytes()], "items": [n[at].sum()]}
+            for t in rest:
+                x = f[f"s{t}"].to_numpy(dtype=float)[at]
+                out[f"o{t}"] = [np.where(np.isnan(x), len(values[t]), np.searchsorted(values[t], x)).astype("int32").tobytes()]
+            yield pd.DataFrame({**out, "g": [np.zeros(len(u)).tobytes()], "m": [np.zeros(len(u)).tobytes()], "total": [0.0], "mass": [0.0], "moved": [0.0], "sums": [b""]})
+
+    cols = ", ".join(f"o{t} binary" for t in rest)
+    return ordered.mapInPandas(pack, f"low double, value binary, w binary, n binary, items double, {cols + ', ' if cols else ''}g binary, m binary, total double, mass double, moved double, sums binary")
+
+
+def _chain(base: DataFrame, k: int, weights: Sequence[float], damping: float, scratch: Scratch) -> DataFrame:
+    """s0.., p, place of each distinct combination of scores, by the chain over all values."""
+    spark = base.sparkSession
+    cols = [f"s{i}" for i in range(k)]
+    states = scratch.save(base.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
+    wide = states.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
+    main = max(range(k), key=lambda i: wide[i])
+    rest = [i for i in range(k) if i != main]
+    share = [w / sum(weights) for w in weights]
+    values, single = {}, {}
+    for t in rest:
+        rows = states.groupBy(f"s{t}").agg(F.sum("n").alias("n")).toPandas()
+        v, c = rows[f"s{t}"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=float)
+        known_, order = ~np.isnan(v), np.argsort(v)
+        values[t] = v[order][: int(known_.sum())]
+        single[t] = np.append(c[order][: int(known_.sum())], c[~known_].sum())
+    blocks = scratch.save(_blocks(states, main, rest, values, spark))
+    heads = sorted((r.low, r.items) for r in blocks.select("low", "items").collect())  # one row per block
+    n = sum(x for _, x in heads)
+    n_known = sum(x for low, x in heads if low >= 0)
+    above, left = {}, n_known
+    for low, x in heads:
+        if low >= 0:
+            left -= x
+            above[low] = left
+    restart = (1 - damping) / n
+    # what each item receives: start from the uniform distribution
+    inflow = {t: np.zeros(len(single[t])) for t in rest}
+    start, lone, first = dict.fromkeys(above, 0.0), 0.0, True
+
+    def arrays(r):
+        return np.frombuffer(r.w, "int32"), np.frombuffer(r.n), [np.frombuffer(getattr(r, f"o{t}"), "int32") for t in rest]
+
+    def probability(r, w, others, inflow, start, lone):
+        p = np.full(len(w), restart)
+        p += lone if r.low < 0 else start[r.low] + np.frombuffer(r.g)[w]
+        for t, o in zip(rest, others, strict=True):
+            p += inflow[t][o]
+        return p
+
+    def higher_of(r, w, c):
+        return above[r.low] + np.cumsum(np.bincount(w, c)[::-1])[::-1]
+
+    def step(inflow, start, lone, first):
+        def run(frames):
+            for f in frames:
+                out = []
+                for r in f.itertuples(index=False):
+                    w, c, others = arrays(r)
+                    mass = c * (np.full(len(w), 1 / n) if first else probability(r, w, others, inflow, start, lone))
+                    m = np.bincount(w, mass)
+                    g, total = np.zeros(len(m)), 0.0
+                    if r.low >= 0:
+                        g = damping * share[main] * np.cumsum(m * (n_known / n) / higher_of(r, w, c))
+                        total = float(g[-1])
+                    sums = np.concatenate([np.bincount(o, mass, len(single[t])) for t, o in zip(rest, others, strict=True)] or [np.zeros(0)])
+                    out.append(r._replace(g=g.tobytes(), m=m.tobytes(), total=total, mass=float(m.sum()), moved=float(np.abs(m - np.frombuffer(r.m)).sum()), sums=sums.tobytes()))
+                yield pd.DataFrame(out, columns=f.columns)
+
+        return run
+
+    old = {t: np.zeros(len(single[t])) for t in rest}
+    for _ in range(MAX_STEPS):
+        done = scratch.save(blocks.mapInPandas(step(inflow, start, lone, first), blocks.schema))
+        scratch.drop(blocks)
+        blocks, first = done, False
+        told = sorted(blocks.select("low", "total", "mass", "moved", "sums").collect())  # one row per block
+        unknown = sum(x.mass for x in told if x.low < 0)
+        everywhere, at, start = damping * share[main] * unknown / n, 0.0, {}
+        for x in told:
+            if x.low >= 0:
+                start[x.low] = everywhere + at
+                at += x.total
+        lone = everywhere + damping * share[main] * sum(x.mass for x in told if x.low >= 0) / n
+        sums = np.sum([np.frombuffer(x.sums) for x in told], axis=0)
+        moved, cut = sum(x.moved for x in told), 0
+        for t in rest:
+            c = single[t]
+            m, cut = sums[cut : cut + len(c)], cut + len(c)
+            higher = np.cumsum(c[:-1][::-1])[::-1]
+            inflow[t] = damping * share[t] * (np.append(np.cumsum(m[:-1] * (1 - c[-1] / n) / higher), m[:-1].sum() / n) + m[-1] / n)
+            moved, old[t] = max(moved, np.abs(m - old[t]).sum()), m
+        if moved < TOLERANCE:
+            break
+
+    def finish(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                w, c, others = arrays(r)
+                p = probability(r, w, others, inflow, start, lone)
+                place, seen, out = np.zeros(len(w)), np.zeros(len(w)), {}
+                if r.low >= 0:
+                    place, seen = place + 1 - higher_of(r, w, c)[w] / n_known, seen + 1
+                out[f"s{main}"] = np.frombuffer(r.value)[w] if r.low >= 0 else np.full(len(w), -1.0)
+                for t, o in zip(rest, others, strict=True):
+                    size, v = single[t], np.append(values[t], -1.0)
+                    up = np.append(np.cumsum(size[:-1][::-1])[::-1] / max(size[:-1].sum(), 1), 1.0)
+                    place, seen = place + 1 - up[o], seen + (o < len(size) - 1)
+                    out[f"s{t}"] = v[o]
+                # the last bits depend on the order of sums
+                out["p"] = [float(f"{x:.10e}") for x in p]
+                out["place"] = np.where(seen > 0, place / np.maximum(seen, 1), 0.5)
+                yield pd.DataFrame(out)[[*cols, "p", "place"]]
+
+    return blocks.mapInPandas(finish, ", ".join(f"{c} double" for c in [*cols, "p", "place"]))
+
+
+def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[float] | None = None, levels: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``key``, ``probability`` and ``rank`` (1 is best, no rank twice) for each row of ``items``,
     whose keys are distinct and not null.  An empty table gives no rows; with all scores unknown all
     items are equal and the key decides."""
@@ -90,6 +227,12 @@ def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[fl
     k = len(scores)
     weights = list(weights or [1.0] * k)
     base = scratch.save(items.select(F.col(key).alias("id"), *[known(c).alias(f"s{i}") for i, c in enumerate(scores)]))
+    if not base.limit(1).count():
+        return base.select(F.col("id").alias(key), F.lit(0.0).alias("probability"), F.lit(0).cast("bigint").alias("rank"))
+    if levels is None:
+        cols = [f"s{i}" for i in range(k)]
+        items_ = base.select("id", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cols])
+        return _numbered(items_.join(_chain(base, k, weights, damping, scratch), cols).select("id", "p", "place"), key, scratch)
     at = [(j + 1) / levels for j in range(levels - 1)]
     cuts = base.agg(*[F.percentile_approx(f"s{i}", at, 10_000).alias(f"s{i}") for i in range(k)]).first()
     bounds = [np.unique(np.array(cuts[i] or [], dtype=float)) for i in range(k)]
@@ -123,8 +266,6 @@ def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[fl
         .toPandas()
     )
     size = [len(b) + 2 for b in bounds]
-    if not len(cells):
-        return base.select(F.col("id").alias(key), F.lit(0.0).alias("probability"), F.lit(0).cast("bigint").alias("rank"))
     counts, single = {}, [np.zeros(x) for x in size]
     for j, (a, b) in enumerate(pairs):
         x = cells[cells["pair"] == j]
@@ -144,7 +285,10 @@ def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[fl
         # the last bits depend on the order of sums
         return pd.Series(np.array([float(f"{v:.10e}") for v in total]))
 
-    scored = placed.select("id", probability(*names).alias("p"), "place")
+    return _numbered(placed.select("id", probability(*names).alias("p"), "place"), key, scratch)
+
+
+def _numbered(scored: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     # global order: range partitions, then the number of rows in earlier partitions
     ordered = scratch.save(scored.orderBy(F.desc("p"), F.desc("place"), "id").withColumn("at", F.monotonically_increasing_id()))
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -152,5 +296,5 @@ def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[fl
     for p, n in sorted(ordered.groupBy(part.alias("p")).count().collect()):  # one row per partition
         before.append((p, total))
         total += n
-    first = spark.createDataFrame(before, "part bigint, before bigint")
+    first = scored.sparkSession.createDataFrame(before, "part bigint, before bigint")
     return ordered.withColumn("part", part.cast("bigint")).join(F.broadcast(first), "part").select(F.col("id").alias(key), F.col("p").alias("probability"), (row + F.col("before") + 1).alias("rank"))

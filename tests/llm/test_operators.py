@@ -74,6 +74,19 @@ def test_coarse_levels_keep_the_order(spark):
     assert np.corrcoef(x, y)[0, 1] > 0.999
 
 
+def test_many_values_are_the_chain(spark):
+    r = random.Random(8)
+    rows = [(r.lognormvariate(0, 2) if r.random() < 0.9 else None, float(r.randrange(700)), float(r.randrange(3)) if r.random() < 0.9 else None) for _ in range(1500)]
+    df = spark.createDataFrame([(f"{i:04}", *x) for i, x in enumerate(rows)], "id string, a double, b double, c double")
+    got = {x.id: x for x in rank_walk.rank(df, "id", ["a", "b", "c"]).collect()}
+    want = chain(rows)
+    assert sorted(x["rank"] for x in got.values()) == list(range(1, 1501))
+    for i, w in enumerate(want):
+        assert abs(got[f"{i:04}"].probability / w - 1) < 1e-7
+    best = sorted(range(1500), key=lambda i: -want[i])[:50]
+    assert [got[f"{i:04}"]["rank"] for i in best] == list(range(1, 51))
+
+
 # --- tokens -----------------------------------------------------------------------------------------
 
 
