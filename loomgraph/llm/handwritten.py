@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-#: A line is rare if at most this share of all files, or this many, have it.
+#: A line is rare if at most this share of all different files (sets of lines), or this many, have it.
 RARE_SHARE, RARE_MIN = 0.005, 20
 #: Shorter lines (trimmed) say nothing about a file.
 LINE_MIN = 12
@@ -152,11 +152,10 @@ def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RAR
     hashed = files.where("file_id is not null and content is not null").select("file_id", "repo", F.array_sort(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("hs"))
     # a file that comes again counts once
     one = scratch.save(hashed.where(F.size("hs") > 0).groupBy("file_id").agg(F.min(F.struct("repo", "hs")).alias("x")).select("file_id", "x.repo", "x.hs").withColumn("cls", F.xxhash64("hs", F.size("hs"))))
-    n_files = one.count()
-    limit = max(rare_min, int(rare_share * n_files))
     cls = one.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.min("hs").alias("hs"))
+    limit = max(rare_min, int(rare_share * cls.count()))
     lines = scratch.save(cls.select("cls", "n", "r0", "r1", F.explode("hs").alias("h")))
-    stats = lines.groupBy("h").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "cls")).alias("top")).where(F.col("df") <= limit).select("h", "k", F.col("top.cls").alias("hub"))
+    stats = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "cls")).alias("top")).where(F.col("df") <= limit).select("h", "k", F.col("top.cls").alias("hub"))
     rare = scratch.save(lines.select("cls", "h").join(stats, "h"))
     sizes = rare.groupBy("cls").agg(F.count(F.lit(1)).alias("n_rare"))
     pairs = rare.where("k > 1 and hub <> cls").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("by_hub")).where(F.col("by_hub") >= shared_min)
@@ -171,7 +170,7 @@ def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RAR
     other = ~((F.col("r0") == F.col("r1")) & (F.col("h0") == F.col("h1")) & (F.col("r0") == F.col("h0")))
     both = scratch.save(both.where(other))
     copied = both.where(F.col("common") >= contained * F.col("n_rare")).select("cls").union(both.where(F.col("common") >= contained * F.col("n_hub")).select(F.col("hub").alias("cls")))
-    whole = cls.where("r0 <> r1").join(sizes.where(F.col("n_rare") >= shared_min), "cls", "left_semi").select("cls")
+    whole = cls.where(F.col("r0") != F.col("r1")).where(F.size("hs") >= shared_min).select("cls")
     return one.join(copied.union(whole).distinct(), "cls", "left_semi").select("file_id")
 
 

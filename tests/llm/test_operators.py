@@ -214,6 +214,13 @@ def test_copies(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_many_exact_copies(spark):
+    # far more files than a rare line may have hold the same text
+    rows = [(i, f"r{i % 9}", BODY) for i in range(60)] + [(100 + i, f"r{i % 9}", other([f"Only{i}{k}" for k in "abcdef"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "file_id bigint, repo string, content string")
+    assert sorted(r.file_id for r in handwritten.copies(df).collect()) == list(range(60))
+
+
 # --- documentation ----------------------------------------------------------------------------------
 
 GO = '''package p
