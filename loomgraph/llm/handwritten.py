@@ -4,7 +4,7 @@ Three looks at each file, and one across files:
 
 * the leading comment: a program's mark that the file is its output, or another project's notice;
 * the composition: minified text, data in the shape of code, members repeated by count;
-* an inverted index of rare line hashes: a file whose rare lines are contained in a file of another
+* an inverted index of line hashes, least frequent first: a file whose rare lines are contained in a file of another
   repository is a copy, edited or not, wherever it lies.
 
 Paths and ignore lists are no evidence of their own.
@@ -140,36 +140,34 @@ def judged(files: DataFrame) -> DataFrame:
 
 def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RARE_MIN, shared_min: int = SHARED_MIN, contained: float = CONTAINED) -> DataFrame:
     """file_id of the files whose rare lines are, for ``contained`` of them, in one file of another
-    repository.
+    repository; a file with fewer than ``shared_min`` rare lines is compared by all its lines.
 
-    Files with equal sets of lines form one class, so copies as they stand never make pairs.  In the
-    index each rare line names one hub, the largest class that has it; a class is compared with the
-    hubs of its own lines only, so the number of comparisons follows the number of lines however many
-    files share one.  The comparison itself counts the common rare lines exactly.
+    Files with equal sets of lines form one class, so copies as they stand never make pairs.  A class
+    whose n lines are contained in a partner for ``need`` of them shares at least one of any
+    n - need + 1, so the partners of its so many least frequent lines are all that can contain it.
+    Each of these outside its own repository is compared exactly.
     """
     scratch = Scratch(files.sparkSession, "copies")
     line = F.filter(F.transform(F.split("content", "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t﻿]", " "))), lambda x: F.length(x) >= LINE_MIN)
     hashed = files.where("file_id is not null and content is not null").select("file_id", "repo", F.array_sort(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("hs"))
     # a file that comes again counts once
     one = scratch.save(hashed.where(F.size("hs") > 0).groupBy("file_id").agg(F.min(F.struct("repo", "hs")).alias("x")).select("file_id", "x.repo", "x.hs").withColumn("cls", F.xxhash64("hs", F.size("hs"))))
-    cls = one.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.min("hs").alias("hs"))
+    cls = scratch.save(one.groupBy("cls").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.min("hs").alias("hs")))
     limit = max(rare_min, int(rare_share * cls.count()))
-    lines = scratch.save(cls.select("cls", "n", "r0", "r1", F.explode("hs").alias("h")))
-    stats = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "cls")).alias("top")).where(F.col("df") <= limit).select("h", "k", F.col("top.cls").alias("hub"))
-    rare = scratch.save(lines.select("cls", "h").join(stats, "h"))
-    sizes = rare.groupBy("cls").agg(F.count(F.lit(1)).alias("n_rare"))
-    pairs = rare.where("k > 1 and hub <> cls").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("by_hub")).where(F.col("by_hub") >= shared_min)
-    pairs = pairs.join(sizes, "cls").where(F.col("by_hub") >= 0.2 * F.col("n_rare")).select("cls", "hub", "n_rare")
-    mine = pairs.join(rare.where("k > 1").select("cls", "h"), "cls")
-    theirs = rare.where("k > 1").select(F.col("cls").alias("hub"), "h")
-    common = mine.join(theirs, ["hub", "h"]).groupBy("cls", "hub", "n_rare").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= shared_min)
-    common = common.join(sizes.select(F.col("cls").alias("hub"), F.col("n_rare").alias("n_hub")), "hub")
-    repos = cls.select("cls", "r0", "r1")
-    both = common.join(repos, "cls").join(repos.select(F.col("cls").alias("hub"), F.col("r0").alias("h0"), F.col("r1").alias("h1")), "hub")
+    lines = scratch.save(cls.select("cls", "r0", "r1", F.explode("hs").alias("h")))
+    counts = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # as many entries as the file has lines
+    known = lines.join(counts, "h").groupBy("cls", "r0", "r1").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    known = known.withColumn("rare", F.filter("all", lambda x: x["df"] <= limit))
+    known = known.select("cls", "r0", "r1", F.when(F.size("rare") >= shared_min, F.col("rare")).otherwise(F.col("all")).alias("own")).where(F.size("own") >= shared_min)
+    known = scratch.save(known.withColumn("need", F.greatest(F.lit(shared_min), F.ceil(F.lit(contained) * F.size("own")).cast("int"))))
+    prefix = known.select("cls", "r0", "r1", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")).alias("x")).where("x.df > 1").select("cls", "r0", "r1", F.col("x.h").alias("h"))
+    partners = lines.select(F.col("cls").alias("partner"), F.col("r0").alias("h0"), F.col("r1").alias("h1"), "h")
     # of different repositories: not both wholly in one and the same
     other = ~((F.col("r0") == F.col("r1")) & (F.col("h0") == F.col("h1")) & (F.col("r0") == F.col("h0")))
-    both = scratch.save(both.where(other))
-    copied = both.where(F.col("common") >= contained * F.col("n_rare")).select("cls").union(both.where(F.col("common") >= contained * F.col("n_hub")).select(F.col("hub").alias("cls")))
+    pairs = scratch.save(prefix.join(partners, "h").where(F.col("cls") != F.col("partner")).where(other).select("cls", "partner").distinct())
+    both = pairs.join(known.select("cls", F.col("own.h").alias("own"), "need"), "cls").join(cls.select(F.col("cls").alias("partner"), "hs"), "partner")
+    copied = both.where(F.size(F.array_intersect("own", "hs")) >= F.col("need")).select("cls")
     whole = cls.where(F.col("r0") != F.col("r1")).where(F.size("hs") >= shared_min).select("cls")
     return one.join(copied.union(whole).distinct(), "cls", "left_semi").select("file_id")
 

@@ -221,6 +221,21 @@ def test_many_exact_copies(spark):
     assert sorted(r.file_id for r in handwritten.copies(df).collect()) == list(range(60))
 
 
+def test_copies_beside_the_own_repository(spark):
+    parts = ["Aa", "Bb", "Cc", "Dd", "Ee", "Ff"]
+    edited = other(parts) + "\nvar changedHere = true\n"
+    # the largest class with these lines lies in the copy's own repository
+    rows = [(1, "p", edited), (2, "q", other(parts) + "\nvar inAnotherPlace = 1\n")] + [(10 + i, "p", other(parts)) for i in range(4)]
+    # no line names one partner for all: every file changes another part, each part is in 30 files
+    many = [(100 + i, f"m{i % 5}", other([w for k, w in enumerate(["Gg", "Hh", "Ii", "Jj", "Kk", "Ll"]) if k != i % 6]) + f"\nvar newHere{i} = true\n") for i in range(36)]
+    rows += many + [(200 + i, f"o{i % 7}", other([f"Only{i}{k}" for k in "abcdef"])) for i in range(10)]
+    df = spark.createDataFrame(rows, "file_id bigint, repo string, content string")
+    found = {r.file_id for r in handwritten.copies(df).collect()}
+    assert {1, 2, 10, 11, 12, 13} <= found and not found & set(range(200, 210))
+    # few rare lines: the files are compared by all their lines
+    assert {x[0] for x in many} <= found
+
+
 # --- documentation ----------------------------------------------------------------------------------
 
 GO = '''package p
