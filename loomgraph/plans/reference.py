@@ -609,10 +609,8 @@ def classify_extension(spark, d):
 
 @query("SELECT file_path, row_number() OVER (ORDER BY string_split(file_path, '/')) AS ord FROM (SELECT DISTINCT file_path FROM source_files) ORDER BY ord LIMIT 100")
 def walk_order(spark, d):
-    first = table(spark, d, "source_files", "file_path").distinct().orderBy(tree.walk_order()).limit(100)
-    from pyspark.sql import Window
-
-    return first.withColumn("ord", F.row_number().over(Window.orderBy(tree.walk_order())))  # 100 rows
+    files = table(spark, d, "source_files", "file_path").distinct().withColumn("parts", tree.walk_order())
+    return store.chunks(files, "parts", 1).select("file_path", (F.col("chunk") + 1).alias("ord"))
 
 
 @query("SELECT DISTINCT file_path FROM source_files WHERE starts_with(file_path, 'meridian-ledger/') OR regexp_matches(split_part(file_path, '/', -1), '^[^/]*\\.generated\\.[^/]*$') OR regexp_matches(split_part(file_path, '/', -1), '^[^/]*_test\\.go$')")

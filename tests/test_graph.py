@@ -132,3 +132,12 @@ def test_resolution(spark):
     assert [r.dst for r in resolve.resolve_ts(p.withColumn("target_qname", F.lit("Do")), n).limit(1).collect()] == ["f1"]
     link = spark.createDataFrame([node("k", "Contract", "Vault", "V.sol", "sol"), node("c1", "Class", "Vault", "src/Vault.ts", "ts"), node("c2", "Class", "Vault", "src/TypeChain/contracts/Vault.ts", "ts")], NODES_DDL)
     assert [(r.src, r.dst) for r in resolve.link_contracts(link).collect()] == [("k", "c2")]
+
+
+def test_walk_order_numbers_every_file(spark, tmp_path):
+    from loomgraph.plans import reference
+
+    paths = [f"r{i % 3}/d{'.' * (i % 2)}x/f{i:03}.go" for i in range(250)]
+    spark.createDataFrame([(p,) for p in paths * 2], "file_path string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = {r.file_path: r.ord for r in reference.walk_order(spark, str(tmp_path)).collect()}
+    assert got == {p: i + 1 for i, p in enumerate(sorted(paths, key=lambda p: p.split("/")))}
