@@ -180,22 +180,23 @@ _LANGUAGES = {".go": "go", ".sol": "sol"}
 
 
 def declared(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    """file_path, name, line, end_line, doc (null without comment) of every function, method and
+    """file_path, name, line, end_line, doc (null without comment), code (its whole lines) of every function, method and
     modifier in the files, where they lie; null and other contents give no rows."""
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ext = extension(p)
                 if ext is None or not c:
                     continue
+                rows = c.split("\n")
                 for d in declarations(_LANGUAGES.get(ext, "ts"), c):
-                    for x, v in zip(out, (p, d.name, d.line, d.end_line, d.doc), strict=True):
+                    for x, v in zip(out, (p, d.name, d.line, d.end_line, d.doc, "\n".join(rows[d.line - 1 : d.end_line])), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], names=["file_path", "name", "line", "end_line", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], names=["file_path", "name", "line", "end_line", "doc", "code"])
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "file_path string, name string, line int, end_line int, doc string")
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "file_path string, name string, line int, end_line int, doc string, code string")
 
 
 # --- does documentation say something? -----------------------------------------------------------
@@ -332,15 +333,24 @@ def says_something(doc, name, signature, qualified_name):
 KINDS = ("Function", "Method", "Modifier")
 
 
-def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def documented(nodes: DataFrame, files: DataFrame, code: bool = False) -> DataFrame:
     """id, qualified_name, signature, documentation of the functions, methods and modifiers (one row
     per id in ``nodes``) whose documentation says something.
 
     ``doc_comment`` counts if it isn't null; else the comment directly above the declaration of that
     name in the file, of several the one nearest to ``start_line``.  Contents of files never move:
     only the declarations found in them are joined.  Where a file occurs repeatedly any copy serves.
+    With ``code`` the same rows have the text of that declaration too, to the brace that ends it; null
+    if the file or the name isn't found.
     """
     own = nodes.where(F.col("type").isin(*KINDS)).select("id", "name", "qualified_name", "signature", "doc_comment", "file_path", "start_line")
+    if code:
+        told = own.where(F.col("doc_comment").isNull() | says_something("doc_comment", "name", "signature", "qualified_name"))
+        decl = declared(files).select("file_path", "name", F.col("line").alias("decl_line"), "doc", "code")
+        near = F.struct(F.abs(F.col("decl_line") - F.coalesce("start_line", F.lit(0))).alias("far"), "decl_line", "doc", "code")
+        found = told.join(decl, ["file_path", "name"], "left").groupBy("id", "name", "qualified_name", "signature", "doc_comment").agg(F.min(F.when(F.col("decl_line").isNotNull(), near)).alias("x"))
+        found = found.select("id", "name", "qualified_name", "signature", F.coalesce("doc_comment", "x.doc").alias("documentation"), F.col("x.code").alias("code")).where("documentation is not null")
+        return found.where(says_something("documentation", "name", "signature", "qualified_name")).select("id", "qualified_name", "signature", "documentation", "code")
     have = own.where("doc_comment is not null").select("id", "name", "qualified_name", "signature", F.col("doc_comment").alias("documentation"))
     lack = own.where("doc_comment is null")
     decl = declared(files).select("file_path", "name", F.col("line").alias("decl_line"), "doc")

@@ -58,10 +58,10 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "source_files", "file_id", "repo", "content"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, code: bool = False) -> DataFrame:
     cols = ("type", "name", "qualified_name", "signature", "doc_comment", "file_path", "start_line")
     nodes = rank_walk.newest(table(spark, d, "nodes", "id", "built_at", *cols), "id", "built_at", cols)
-    return docpairs.documented(nodes, table(spark, d, "source_files", "file_path", "content"))
+    return docpairs.documented(nodes, table(spark, d, "source_files", "file_path", "content"), code)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)
+    return _pairs(spark, d, code=True)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

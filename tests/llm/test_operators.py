@@ -345,3 +345,12 @@ def test_delimiters_all_count():
     for a, b in [("{{", "}}"), ("{{ ", " }}"), ("<%= ", " %>"), ("@@", "@@"), ("%%", "%%"), ("#{", "}"), ("%{", "}"), ("${", "}"), ("{$", "}"), ("[[", "]]"), ("__", "__"), ("<insert ", " here>"), ("<Your ", ">"), ("[", " goes here]"), ("<TODO: ", ">"), ("{", "}"), ("[", "]")]:
         for name, ctx in product(("owner", "cursor_count", "epochTitle", "release date"), ("Written by {} today.", "| {} | x |")):
             assert residue.residue(ctx.replace("{}", a + name + b)) == "placeholder", (a, name, b)
+
+
+def test_documented_code(spark):
+    cols = "id string, type string, name string, qualified_name string, signature string, doc_comment string, file_path string, start_line int"
+    rows = [("1", "Function", "Add", "p.Add", "func Add", None, "p/a.go", 4), ("2", "Method", "Put", "p.Put", "func Put", "Rejects values beyond the quota.", "p/a.go", 20), ("3", "Function", "Gone", "p.Gone", "func Gone", "Rejects values beyond the quota.", "p/none.go", 1), ("4", "Function", "Lone", "p.Lone", "func Lone", None, "p/a.go", 11)]
+    nodes, files = spark.createDataFrame(rows, cols), spark.createDataFrame([("p/a.go", GO), ("p/a.go", GO)], "file_path string, content string")
+    got = {r.id: r.code for r in docpairs.documented(nodes, files, code=True).collect()}
+    assert got == {"1": "\n".join(GO.split("\n")[3:7]), "2": "func (s *Set) Put(v int) error { return nil }", "3": None}
+    assert set(got) == {r.id for r in docpairs.documented(nodes, files).collect()}
