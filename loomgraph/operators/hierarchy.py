@@ -3,6 +3,11 @@
 ``links`` is any DataFrame with group columns (for instance tree and resolution), a parent and a
 child.  A hierarchy lives within one group.  Nodes are strings, compared as they stand.
 
+Everything is joins, at every size.  The frontier of the joins doubles its reach with each round: a
+node with one parent hands on its jump to its parent's jump, so chains of length d take log2(d)
+rounds.  Jumps end at roots and at joints (nodes with several parents); what is left is the graph of
+joints, which goes round again.  Nodes whose jumps never end are unreached and reveal cycles.
+
 Defined results: a row with a null child is ignored; a row with a null parent makes its child a
 top; repeated rows count once; a row whose parent is its own child is a cycle of one and gives no
 parent; a child with several parents takes the one by which it is reached first from a root (the
@@ -13,22 +18,23 @@ every row; nodes that no root reaches have null root, depth and path.  An empty
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-#: Links that one task may finish alone: about 100 MB of Python objects.  Above it the rounds go on.
-KERNEL_LINKS = 400_000
+
+def _key(group: Sequence[str]):
+    """The groups as one string; null and empty ones differ."""
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in group]) if group else F.lit("")
 
 
 def _plain(links: DataFrame, group: Sequence[str], parent: str, child: str) -> DataFrame:
-    """Columns g (groups as one string), p, c; distinct; the child is never null."""
-    g = F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in group]) if group else F.lit("")
+    """Columns g (groups as one string), p, c and the groups' values; distinct; the child is never null."""
     return (
-        links.select(g.alias("g"), F.col(parent).cast("string").alias("p"), F.col(child).cast("string").alias("c"), *[F.col(x).alias(f"_g{i}") for i, x in enumerate(group)])
+        links.select(_key(group).alias("g"), F.col(parent).cast("string").alias("p"), F.col(child).cast("string").alias("c"), *[F.col(x).alias(f"_g{i}") for i, x in enumerate(group)])
         .where("c is not null")
         .distinct()
     )
@@ -38,75 +44,130 @@ def _groups(n: int) -> list[str]:
     return [f"_g{i}" for i in range(n)]
 
 
-def strong_components(pairs: list[tuple]) -> list[list]:
-    """Tarjan's strongly connected components without recursion, over hashable nodes."""
-    out: dict = {}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    index: dict = {}
-    low: dict = {}
-    on: set = set()
-    path: list = []
-    found: list[list] = []
-    for start in out:
-        if start in index:
-            continue
-        work = [(start, iter(out[start]))]
-        index[start] = low[start] = len(index)
-        path.append(start)
-        on.add(start)
-        while work:
-            node, it = work[-1]
-            for nxt in it:
-                if nxt not in index:
-                    index[nxt] = low[nxt] = len(index)
-                    path.append(nxt)
-                    on.add(nxt)
-                    work.append((nxt, iter(out[nxt])))
-                    break
-                if nxt in on:
-                    low[node] = min(low[node], index[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    comp = []
-                    while True:
-                        x = path.pop()
-                        on.discard(x)
-                        comp.append(x)
-                        if x == node:
-                            break
-                    found.append(comp)
-    return found
-
-
-def _cycle_kernel(frames):
-    """All links of a checked, small rest in one task -> (g, c) of each node on a cycle."""
-    pairs: list[tuple] = []
-    for f in frames:
-        pairs += [((g, p), (g, c)) for g, p, c in zip(f["g"], f["p"], f["c"], strict=True)]
-    hit = [n for comp in strong_components(pairs) if len(comp) > 1 for n in comp]
-    yield pd.DataFrame({"g": [g for g, _ in hit], "c": [c for _, c in hit]}, dtype=object)
-
-
-def _propagated_cycles(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Nodes on cycles, all in joins, for a rest of any size.
+def _union(dfs: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, dfs)
+
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _by_parents(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of distinct links (g, p, c): the nodes with one parent (g, n, up), and the joints (g, n)."""
+    deg = scratch.save(links.groupBy("g", F.col("c").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.min("p").alias("up")))
+    return deg.where("k = 1").select("g", "n", "up"), deg.where("k > 1").select("g", "n")
+
+
+def _climb(rows: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Jumps of rows (g, n, top and maybe seg, the nodes below ``top`` down to ``n``) whose tops may be nodes of other rows.
+
+    Table k of the result has the nodes that aren't at an end after table k - 1, their tops moved
+    2**k links up or to the end, and whether that is the end (done).  It ends when all nodes are done
+    or a round brings no node to its end: one farther away than 2**k has an ancestor that this round
+    would have brought there, so the nodes left have no end; they are on or below a cycle.
+    """
+    seg = "seg" in rows.columns
+    open_ = F.count(F.when(~F.col("done"), 1))
+    go = rows.select("g", F.col("n").alias("top"), F.lit(True).alias("_goes"))
+    first, seen = scratch.measured(rows.join(go, ["g", "top"], "left").select(*rows.columns, F.col("_goes").isNull().alias("done")), left=open_)
+    steps, left = [first], seen["left"]
+    while left:
+        now = steps[-1].where("not done")
+        # tables before the last are read for their ends only
+        table = scratch.together(steps).where("done").unionByName(now)
+        table = table.select("g", F.col("n").alias("top"), F.col("top").alias("_top"), F.col("done").alias("_done"), *[F.col("seg").alias("_seg")] * seg)
+        both = now.drop("done").join(table, ["g", "top"]).select("g", "n", F.col("_top").alias("top"), *[F.concat("_seg", "seg").alias("seg")] * seg, F.col("_done").alias("done"))
+        new, seen = scratch.measured(both, left=open_)
+        steps.append(new)
+        if seen["left"] == left:
+            break
+        left = seen["left"]
+    return steps
+
+
+def _ended(steps: Sequence[DataFrame], scratch: Scratch) -> DataFrame:
+    return scratch.together(steps).where("done").drop("done")
+
+
+def _on_rings(steps: Sequence[DataFrame], scratch: Scratch) -> DataFrame | None:
+    """(g, n): nodes on the cycles that the jumps without an end run into, or None without such jumps.
+
+    Only nodes that jumps land on jump on.  Once a round lands on as many as the one before, jumps
+    of this width map the nodes one to one onto themselves, so all of them lie on cycles.
+    """
+    lost = steps[-1].where("not done").select("g", "n", "top")
+    if not _any(lost):
+        return None
+    rows = F.count(F.lit(1))
+    ends, seen = scratch.measured(lost.select("g", F.col("top").alias("n")).distinct(), n=rows)
+    while True:
+        jump = lost.join(ends, ["g", "n"], "left_semi")
+        lost = scratch.save(jump.join(jump.select("g", F.col("n").alias("top"), F.col("top").alias("_top")), ["g", "top"]).select("g", "n", F.col("_top").alias("top")))
+        n = seen["n"]
+        ends, seen = scratch.measured(lost.select("g", F.col("top").alias("n")).distinct(), n=rows)
+        if seen["n"] == n:
+            return ends
+
+
+def _flipped(links: DataFrame) -> DataFrame:
+    return links.select("g", F.col("c").alias("p"), F.col("p").alias("c"))
+
+
+def _cyclic_links(links: DataFrame, scratch: Scratch, turned: bool = False) -> DataFrame:
+    """The links (g, p, c), distinct and without links of a node to itself, that lie on cycles.
+
+    Nodes with one parent jump up to a joint, a root, or nowhere: the last give the cycles without
+    joints.  A cycle with joints is one of the graph that has a link from joint to joint for each
+    chain between them; its chains are marked by the jumps again, widest first.
+    """
+    single, joints = _by_parents(links, scratch)
+    steps = _climb(single.withColumnRenamed("up", "top"), scratch)
+    found = []
+    if (ring := _on_rings(steps, scratch)) is not None:
+        found.append(scratch.save(single.join(ring, ["g", "n"], "left_semi").select("g", F.col("up").alias("p"), F.col("n").alias("c"))))
+    ends = _ended(steps, scratch).select("g", F.col("n").alias("p"), F.col("top").alias("a")).unionByName(joints.select("g", F.col("n").alias("p"), F.col("n").alias("a")))
+    ends = ends.join(joints.withColumnRenamed("n", "a"), ["g", "a"], "left_semi")
+    via = scratch.save(links.join(joints.withColumnRenamed("n", "c"), ["g", "c"], "left_semi").join(ends, ["g", "p"]).select("g", "a", "p", "c"))
+    good = [via.where("a = c")]
+    outer = via.where("a <> c").select("g", F.col("a").alias("p"), "c").distinct()
+    # a joint that leads to no other is on no cycle of joints
+    outer, seen = scratch.measured(outer.join(outer.select("g", F.col("p").alias("c")).distinct(), ["g", "c"], "left_semi").select("g", "p", "c"), n=F.count(F.lit(1)))
+    n = seen["n"]
+    if n:
+        if n < links.count():
+            sub = _cyclic_links(outer, scratch)
+        elif not turned:
+            sub = _flipped(_cyclic_links(_flipped(outer), scratch, True))
+        else:
+            sub = _core_links(outer, scratch)
+        good.append(via.join(sub.select("g", F.col("p").alias("a"), "c"), ["g", "a", "c"], "left_semi"))
+    hit = scratch.save(_union(good))
+    marked = hit.where("p <> a").select("g", F.col("p").alias("n")).distinct()
+    if _any(marked):
+        for i, s in reversed(list(enumerate(steps))):
+            up = s.where("not done").join(marked, ["g", "n"], "left_semi").select("g", F.col("top").alias("n"))
+            marked = marked.union(up).distinct()
+            if i % 2 == 0:
+                marked = scratch.save(marked)
+        found.append(single.join(marked, ["g", "n"], "left_semi").select("g", F.col("up").alias("p"), F.col("n").alias("c")))
+    return scratch.save(_union([*found, hit.select("g", "p", "c")]).distinct())
+
+
+def _core_links(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links on cycles of a graph all of whose nodes have several parents and children.
 
     Each pass lets the smallest id flow along the links until nothing changes; a node whose own
     id comes back to it by links between nodes of that colour is on a cycle together with all that
     reach it within the colour.  These components leave, the rest goes round again.
     """
-    rest, done = links, None
+    rest, done = links, []
     while True:
         ids = rest.select("g", F.col("p").alias("n")).union(rest.select("g", F.col("c").alias("n"))).distinct()
         colour = scratch.save(ids.withColumn("k", F.col("n")))
         while True:
             sent = rest.join(colour.withColumnRenamed("n", "p"), ["g", "p"]).select("g", F.col("c").alias("n"), "k")
             new = scratch.save(colour.select("g", "n", "k", F.col("k").alias("o")).unionByName(sent.withColumn("o", F.lit(None).cast("string"))).groupBy("g", "n").agg(F.min("k").alias("k"), F.min("o").alias("o")))
-            changed = new.where("k <> o").limit(1).count()
+            changed = _any(new.where("k <> o"))
             scratch.drop(colour)
             colour = new.select("g", "n", "k")
             if not changed:
@@ -117,210 +178,149 @@ def _propagated_cycles(links: DataFrame, scratch: Scratch) -> DataFrame:
         front = back
         while True:
             front = scratch.save(inner.join(front.withColumnRenamed("n", "c"), ["g", "k", "c"]).select("g", "k", F.col("p").alias("n")).distinct().join(back, ["g", "k", "n"], "left_anti"))
-            if not front.limit(1).count():
+            if not _any(front):
                 break
             back = scratch.save(back.union(front))
-        # a component of one node has no cycle here: links of a node to itself are not in the rest
-        sizes = back.groupBy("g", "k").count().where("count > 1").select("g", "k")
-        hit = scratch.save(back.join(sizes, ["g", "k"], "left_semi").select("g", F.col("n").alias("c")))
-        done = hit if done is None else done.union(hit)
+        own = inner.join(back.withColumnRenamed("n", "p"), ["g", "k", "p"], "left_semi").join(back.withColumnRenamed("n", "c"), ["g", "k", "c"], "left_semi")
+        done.append(scratch.save(own.select("g", "p", "c")))
         gone = back.select("g", "n")
-        rest = scratch.save(rest.join(gone.withColumnRenamed("n", "p"), ["g", "p"], "left_anti").join(gone.withColumnRenamed("n", "c"), ["g", "c"], "left_anti"))
-        if not rest.limit(1).count():
-            return done
-
+        rest = scratch.save(rest.join(gone.withColumnRenamed("n", "p"), ["g", "p"], "left_anti").join(gone.withColumnRenamed("n", "c"), ["g", "c"], "left_anti").select("g", "p", "c"))
+        if not _any(rest):
+            return _union(done)
 
-def cycle_nodes(links: DataFrame, group: Sequence[str], parent: str, child: str, kernel_links: int = KERNEL_LINKS) -> DataFrame:
-    """One row (``group`` columns, ``node_id``) for each node that lies on a cycle of links.
 
-    Level-wise frontier joins go down from the roots and up from the leaves at once: a link stays
-    only while its parent is still reached by some link and its child still leads to one.  What is
-    never taken off is unreached or lies between cycles.  The rest shrinks with each round; once it
-    is counted to be at most ``kernel_links`` (and that many links fit one task), its components are
-    found in one task, otherwise, when a round takes nothing off, by label propagation in joins.
-    """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "cycles")
-    plain = _plain(links, group, parent, child).where("p is not null")
+def cycle_nodes(links: DataFrame, group: Sequence[str], parent: str, child: str) -> DataFrame:
+    """One row (``group`` columns, ``node_id``) for each node that lies on a cycle of links."""
+    scratch = Scratch(links.sparkSession, "cycles")
+    plain = scratch.save(_plain(links, group, parent, child).where("p is not null"))
     names = _groups(len(group))
-    own = plain.where("p = c").select("g", "c", *names)
-    first = scratch.save(plain.where("p <> c"))
-    rest, n = first.select("g", "p", "c"), first.count()
-    while n:
-        if n <= kernel_links:
-            found = rest.coalesce(1).mapInPandas(_cycle_kernel, "g string, c string")
-            break
-        heads = rest.select("g", F.col("c").alias("p")).distinct()
-        tails = rest.select("g", F.col("p").alias("c")).distinct()
-        new = scratch.save(rest.join(heads, ["g", "p"], "left_semi").join(tails, ["g", "c"], "left_semi"))
-        m = new.count()
-        if rest is not first:
-            scratch.drop(rest)
-        rest = new
-        if m == n:
-            found = _propagated_cycles(rest, scratch)
-            break
-        n = m
-    else:
-        found = rest.select("g", "c").limit(0)
+    found = _cyclic_links(plain.where("p <> c").select("g", "p", "c"), scratch).select("g", "c").distinct()
     # the group's own values come back from one of the node's links
-    values = first.select("g", "c", *names).dropDuplicates(["g", "c"])
-    hits = scratch.save(found).join(values, ["g", "c"]).select("g", "c", *names)
-    both = hits.union(own).dropDuplicates(["g", "c"])
+    hits = plain.join(found, ["g", "c"], "left_semi").select("g", "c", *names)
+    both = hits.union(plain.where("p = c").select("g", "c", *names)).dropDuplicates(["g", "c"])
     return both.select(*[F.col(a).alias(b) for a, b in zip(names, group, strict=True)], F.col("c").alias("node_id"))
 
 
-def _path_kernel(frames):
-    """The remaining levels of a checked, small rest in one task: rows with a path are the
-    frontier, the others links.  Paths are put together from parents only when a row goes out."""
-    kids: dict = {}
-    path: dict = {}
-    for f in frames:
-        for g, p, c, way in zip(f["g"], f["p"], f["c"], f["path"], strict=True):
-            if way is None:
-                kids.setdefault((g, p), []).append(c)
-            else:
-                path[g, c] = list(way)
-    front, up = sorted(path), {}
-    while front:
-        new: dict = {}
-        for g, n in front:
-            for c in kids.pop((g, n), ()):
-                if (g, c) not in path and (g, c) not in up and ((g, c) not in new or n < new[g, c]):
-                    new[g, c] = n
-        up |= new
-        front = list(new)
-    out: list = []
-    for (g, c), p in up.items():
-        tail, at = [c], p
-        while (g, at) in up:
-            tail.append(at)
-            at = up[g, at]
-        way = path[g, at] + tail[::-1]
-        out.append((g, c, p, way, len(way) - 1))
-        if len(out) == 20_000:
-            yield pd.DataFrame(out, columns=["g", "n", "up", "path", "depth"])
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=["g", "n", "up", "path", "depth"])
-
-
-def paths(links: DataFrame, group: Sequence[str], parent: str, child: str, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+def _shortest(via: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, n, d): links from the next root to each joint that one reaches, over chains (g, a, c, w) of w
+    links.  Rounds of relaxation in joins, as many as a shortest way has joints."""
+    best, front = None, roots.select("g", "n", F.lit(0).alias("d"))
+    while True:
+        new = via.join(front.withColumnRenamed("n", "a"), ["g", "a"]).groupBy("g", F.col("c").alias("n")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        if best is not None:
+            new = new.join(best.withColumnRenamed("d", "o"), ["g", "n"], "left").where("o is null or d < o").select("g", "n", "d")
+        front = scratch.save(new)
+        if best is not None and not _any(front):
+            return best
+        best = front if best is None else scratch.save(best.join(front, ["g", "n"], "left_anti").unionByName(front))
+
+
+def paths(links: DataFrame, group: Sequence[str], parent: str, child: str) -> DataFrame:
     """One row per node: ``group`` columns, ``node_id``, ``parent_id``, ``root_id``, ``depth``
     (0 at a root) and ``path`` (array from the root to the node).
 
-    A root is a node that is nobody's child, or a child whose parent is null.  Each level joins the
-    frontier with the links that aren't used yet, keeps for each new child the smallest parent, and
-    takes all links to the new children off the rest, so the rest only shrinks.  Once frontier and
-    rest are counted to be at most ``kernel_links`` rows, one task goes the remaining levels.
+    A root is a node that is nobody's child, or a child whose parent is null.  Jumps carry the nodes
+    they pass; joints choose their parent by the shortest way from a root, then jump on from there.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "paths")
+    scratch = Scratch(links.sparkSession, "paths")
     names = _groups(len(group))
     plain = scratch.save(_plain(links, group, parent, child))
-    real = plain.where("p is not null and p <> c")
     ids = plain.select("g", F.col("c").alias("n"), *names, F.lit(1).alias("is_c"), F.col("p").isNull().cast("int").alias("top"), (F.col("p") == F.col("c")).alias("own"))
     ids = ids.unionByName(plain.where("p is not null").select("g", F.col("p").alias("n"), *names, F.lit(0).alias("is_c"), F.lit(0).alias("top"), F.lit(False).alias("own")))
     # a link to itself doesn't make its node a child
     nodes = scratch.save(ids.withColumn("is_c", F.when(F.col("own"), 0).otherwise(F.col("is_c"))).groupBy("g", "n", *names).agg(F.max("is_c").alias("is_c"), F.max("top").alias("top")))
-    front = scratch.save(nodes.where("is_c = 0 or top = 1").select("g", "n", F.lit(None).cast("string").alias("up"), F.array("n").alias("path")))
-    level, reached = 0, [front.withColumn("depth", F.lit(0))]
-    rest = scratch.save(real.select("g", "p", "c").join(front.select("g", F.col("n").alias("c")), ["g", "c"], "left_anti"))
-    while True:
-        if rest.count() + front.count() <= kernel_links:
-            both = rest.select("g", "p", "c", F.lit(None).cast("array<string>").alias("path")).union(front.select("g", F.lit(None).cast("string"), "n", "path"))
-            reached.append(scratch.save(both.coalesce(1).mapInPandas(_path_kernel, "g string, n string, up string, path array<string>, depth int")))
-            break
-        level += 1
-        step = rest.join(front.select("g", F.col("n").alias("p"), "path"), ["g", "p"])
-        new = scratch.save(step.groupBy("g", "c").agg(F.min(F.struct("p", "path")).alias("x")).select("g", F.col("c").alias("n"), F.col("x.p").alias("up"), F.concat("x.path", F.array("c")).alias("path")))
-        if not new.limit(1).count():
-            break
-        reached.append(new.withColumn("depth", F.lit(level)))
-        old, front = rest, new
-        rest = scratch.save(rest.join(new.select("g", F.col("n").alias("c")), ["g", "c"], "left_anti"))
-        scratch.drop(old)
-    found = reached[0]
-    for x in reached[1:]:
-        found = found.union(x)
-    return nodes.join(found, ["g", "n"], "left").select(
+    roots = nodes.where("is_c = 0 or top = 1").select("g", "n")
+    real = scratch.save(plain.where("p is not null and p <> c").select("g", "p", "c").join(roots.withColumnRenamed("n", "c"), ["g", "c"], "left_anti"))
+    single, joints = _by_parents(real, scratch)
+    chains = _ended(_climb(single.select("g", "n", F.col("up").alias("top"), F.array("n").alias("seg")), scratch), scratch)
+    found = [roots.select("g", "n", F.lit(None).cast("string").alias("up"), F.array("n").alias("path"))]
+    below = chains.join(roots.withColumnRenamed("n", "top"), ["g", "top"], "left_semi").select("g", "n", F.concat(F.array("top"), "seg").alias("path"))
+    if _any(joints):
+        anchors = roots.union(joints)
+        ends = chains.select("g", F.col("n").alias("p"), F.col("top").alias("a"), "seg").unionByName(anchors.select("g", F.col("n").alias("p"), F.col("n").alias("a"), F.array().cast("array<string>").alias("seg")))
+        via = scratch.save(real.join(joints.withColumnRenamed("n", "c"), ["g", "c"], "left_semi").join(ends, ["g", "p"]).select("g", "a", "p", "c", "seg", (F.size("seg") + 1).alias("w")))
+        best = _shortest(via, roots, scratch)
+        known = roots.select("g", F.col("n").alias("a"), F.lit(0).alias("da")).unionByName(best.select("g", F.col("n").alias("a"), F.col("d").alias("da")))
+        fits = via.join(known, ["g", "a"]).join(best.withColumnRenamed("n", "c"), ["g", "c"]).where("da + w = d")
+        chosen = scratch.save(fits.groupBy("g", "c").agg(F.min(F.struct("p", "a", "seg")).alias("x")).select("g", F.col("c").alias("n"), F.col("x.p").alias("up"), F.col("x.a").alias("top"), F.concat("x.seg", F.array("c")).alias("seg")))
+        ways = _ended(_climb(chosen.drop("up"), scratch), scratch).select("g", "n", F.concat(F.array("top"), "seg").alias("path"))
+        ways = scratch.save(ways)
+        found.append(ways.join(chosen.select("g", "n", "up"), ["g", "n"]).select("g", "n", "up", "path"))
+        below = below.unionByName(chains.join(ways.select("g", F.col("n").alias("top"), "path"), ["g", "top"]).select("g", "n", F.concat("path", "seg").alias("path")))
+    found.append(below.join(single, ["g", "n"]).select("g", "n", "up", "path"))
+    return nodes.join(_union(found), ["g", "n"], "left").select(
         *[F.col(a).alias(b) for a, b in zip(names, group, strict=True)],
         F.col("n").alias("node_id"),
         F.col("up").alias("parent_id"),
         F.col("path")[0].alias("root_id"),
-        "depth",
+        (F.size("path") - 1).alias("depth"),
         "path",
     )
 
 
-def _start_kernel(frames):
-    """Links between nodes on cycles in one task -> (g, c): the smallest id of each component that
-    no link from another one enters."""
-    pairs: list[tuple] = []
-    for f in frames:
-        pairs += [((g, p), (g, c)) for g, p, c in zip(f["g"], f["p"], f["c"], strict=True)]
-    comps = strong_components(pairs)
-    of = {n: i for i, comp in enumerate(comps) for n in comp}
-    entered = {of[b] for a, b in pairs if of[a] != of[b]}
-    hit = [min(comp) for i, comp in enumerate(comps) if i not in entered]
-    yield pd.DataFrame({"g": [g for g, _ in hit], "c": [c for _, c in hit]}, dtype=object)
+def _leaders(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, n): the smallest node of each component that the links (g, p, c) connect.  Each round takes
+    the smallest label among neighbours, then the label of that label."""
+    ways = scratch.save(links.select("g", F.col("p").alias("n"), F.col("c").alias("m")).union(links.select("g", "c", "p")).distinct())
+    label = scratch.save(ways.select("g", "n", F.col("n").alias("k")).distinct())
+    while True:
+        told = ways.join(label.withColumnRenamed("n", "m"), ["g", "m"]).select("g", "n", "k")
+        near = told.union(label.select("g", "n", "k")).groupBy("g", "n").agg(F.min("k").alias("k"))
+        far = near.join(near.select("g", F.col("n").alias("k"), F.col("k").alias("k2")), ["g", "k"]).select("g", "n", F.col("k2").alias("k"))
+        new = scratch.save(far.join(label.withColumnRenamed("k", "o"), ["g", "n"]))
+        if not _any(new.where("k <> o")):
+            return new.where("n = k").select("g", "n")
+        label = new.select("g", "n", "k")
 
 
-def _rootless(links: DataFrame, lost: DataFrame, names: Sequence[str], scratch: Scratch, kernel_links: int) -> DataFrame:
+def _rootless(links: DataFrame, lost: DataFrame, names: Sequence[str], scratch: Scratch) -> DataFrame:
     """``paths`` (g, group values, n, up, path) of the nodes in ``lost`` (g, n), which no root reaches.
 
-    All their parents are lost too, so each is on or below a cycle that nothing else enters.  Such a
-    cycle's smallest node stands in for the root; where the links between nodes on cycles are too
-    many for one task, each of these nodes does, which costs rounds later but changes no pair.
+    All their parents are lost too, so each is on or below a cycle.  Of each group of nodes that
+    cycles connect the smallest stands in for a root.
     """
     own = scratch.save(links.join(lost.select("g", F.col("n").alias("c")), ["g", "c"], "left_semi"))
+    starts = _leaders(_cyclic_links(own.where("p <> c").select("g", "p", "c"), scratch), scratch)
     plain = own.select("p", "c", F.col("g").alias("k"), *names)
-    cyclic = scratch.save(cycle_nodes(plain, ["k", *names], "p", "c", kernel_links).select(F.col("k").alias("g"), F.col("node_id").alias("n"), *names))
-    inner = scratch.save(own.where("p <> c").select("g", "p", "c").join(cyclic.select("g", F.col("n").alias("p")), ["g", "p"], "left_semi").join(cyclic.select("g", F.col("n").alias("c")), ["g", "c"], "left_semi").distinct())
-    starts = cyclic
-    if inner.count() <= kernel_links:
-        starts = cyclic.join(inner.coalesce(1).mapInPandas(_start_kernel, "g string, c string").withColumnRenamed("c", "n"), ["g", "n"], "left_semi")
-    rooted = plain.union(starts.select(F.lit(None).cast("string"), "n", "g", *names))
-    return paths(rooted, ["k", *names], "p", "c", kernel_links).select(F.col("k").alias("g"), *names, F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path")
+    values = own.select("g", F.col("c").alias("n"), *names).dropDuplicates(["g", "n"])
+    rooted = plain.union(values.join(starts, ["g", "n"], "left_semi").select(F.lit(None).cast("string"), "n", "g", *names))
+    return paths(rooted, ["k", *names], "p", "c").select(F.col("k").alias("g"), *names, F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path")
 
 
-def descendants(links: DataFrame, group: Sequence[str], parent: str, child: str, tree: DataFrame | None = None, rootless: bool = False, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+def descendants(links: DataFrame, group: Sequence[str], parent: str, child: str, tree: DataFrame | None = None) -> DataFrame:
     """One row (``group`` columns, ``ancestor_id``, ``node_id``) for each node and each of its
-    proper ancestors by any rows; a node on a cycle is its own.  Only ancestors that a root reaches
-    have rows, unless ``rootless``: then all nodes have, those on and below cycles without a root too.
+    proper ancestors by any rows; a node on a cycle is its own.
 
-    Ancestor pairs along the tree come out of the paths.  Links outside the tree (second parents,
-    links back) are few; their closure is found level by level over the links themselves and then
-    joined with the pairs above and below each.
+    Ancestor pairs along the tree come out of the paths.  The closure of the links outside the tree
+    (second parents, links back) is found level by level over these links and then joined with the
+    pairs above and below each.  Each pair of that closure is a pair of the result too, so it never
+    outgrows it.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "pairs")
+    scratch = Scratch(links.sparkSession, "pairs")
     names = _groups(len(group))
-    tree = paths(links, group, parent, child) if tree is None else tree
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in group]) if group else F.lit("")
-    flat = scratch.save(tree.where("depth is not null").select(key.alias("g"), *[F.col(x).alias(y) for x, y in zip(group, names, strict=True)], F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path"))
-    linked = _plain(links, group, parent, child).where("p is not null")
-    if rootless:
-        lost = scratch.save(tree.where("depth is null").select(key.alias("g"), F.col("node_id").alias("n")))
-        if lost.limit(1).count():
-            flat = flat.unionByName(scratch.save(_rootless(linked, lost, names, scratch, kernel_links)))
+    tree = scratch.save(paths(links, group, parent, child) if tree is None else tree)
+    flat = tree.where("path is not null").select(_key(group).alias("g"), *[F.col(x).alias(y) for x, y in zip(group, names, strict=True)], F.col("node_id").alias("n"), F.col("parent_id").alias("up"), "path")
+    linked = scratch.save(_plain(links, group, parent, child).where("p is not null"))
+    lost = tree.where("path is null").select(_key(group).alias("g"), F.col("node_id").alias("n"))
+    if _any(lost):
+        flat = flat.unionByName(_rootless(linked, lost, names, scratch))
+    flat = scratch.save(flat)
     self_and_up = scratch.save(flat.select("g", F.explode("path").alias("a"), "n"))
-    plain = linked.select("g", "p", "c").distinct()
-    known = flat.select("g", F.col("n").alias("c"), "up")
-    extra = plain.join(known, ["g", "c"]).where("up is null or p <> up").join(flat.select("g", F.col("n").alias("p")), ["g", "p"], "left_semi").select("g", F.col("p").alias("a"), F.col("c").alias("n"))
-    extra = scratch.save(extra)
-    # closure of the extra links: from the head of one, down the tree, to the tail of the next
-    tails = extra.select("g", F.col("a").alias("n"), F.col("n").alias("n2"))
-    hops = scratch.save(extra.select("g", F.col("n").alias("a")).distinct().join(self_and_up, ["g", "a"]).join(tails, ["g", "n"]).select("g", F.col("a").alias("from"), F.col("n2").alias("to")).distinct())
-    reach = front = extra
-    while True:
-        front = scratch.save(front.join(hops.withColumnRenamed("from", "n"), ["g", "n"]).select("g", "a", F.col("to").alias("n")).distinct().join(reach, ["g", "a", "n"], "left_anti"))
-        if not front.limit(1).count():
-            break
-        reach = scratch.save(reach.union(front))
-    over = self_and_up.select("g", F.col("a").alias("top"), F.col("n").alias("a"))
-    below = self_and_up.select("g", F.col("a").alias("n"), F.col("n").alias("end"))
-    more = reach.join(over, ["g", "a"]).select("g", "top", "n").distinct().join(below, ["g", "n"]).select("g", F.col("top").alias("a"), F.col("end").alias("n"))
-    pairs = self_and_up.where("a <> n").union(more).distinct()
-    values = flat.select("g", "n", *names)
-    return pairs.join(values, ["g", "n"]).select(*[F.col(a).alias(b) for a, b in zip(names, group, strict=True)], F.col("a").alias("ancestor_id"), F.col("n").alias("node_id"))
+    plain = linked.select("g", "p", "c")
+    extra = scratch.save(plain.join(flat.select("g", F.col("n").alias("c"), "up"), ["g", "c"]).where("up is null or p <> up").select("g", F.col("p").alias("a"), F.col("c").alias("n")))
+    pairs = self_and_up.where("a <> n")
+    if _any(extra):
+        # from the head of one such link, down the tree, to the tail of the next
+        tails = extra.select("g", F.col("a").alias("n"), F.col("n").alias("n2"))
+        hops = scratch.save(extra.select("g", F.col("n").alias("a")).distinct().join(self_and_up, ["g", "a"]).join(tails, ["g", "n"]).select("g", F.col("a").alias("from"), F.col("n2").alias("to")).distinct())
+        reach = front = extra
+        while True:
+            front = scratch.save(front.join(hops.withColumnRenamed("from", "n"), ["g", "n"]).select("g", "a", F.col("to").alias("n")).distinct().join(reach, ["g", "a", "n"], "left_anti"))
+            if not _any(front):
+                break
+            reach = scratch.save(reach.union(front))
+        over = self_and_up.select("g", F.col("a").alias("top"), F.col("n").alias("a"))
+        below = self_and_up.select("g", F.col("a").alias("n"), F.col("n").alias("end"))
+        more = reach.join(over, ["g", "a"]).select("g", "top", "n").distinct().join(below, ["g", "n"]).select("g", F.col("top").alias("a"), F.col("end").alias("n"))
+        pairs = pairs.union(more).distinct()
+    return pairs.join(flat.select("g", "n", *names), ["g", "n"]).select(*[F.col(a).alias(b) for a, b in zip(names, group, strict=True)], F.col("a").alias("ancestor_id"), F.col("n").alias("node_id"))

@@ -27,7 +27,7 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(tree_links(spark, d), ["tree", "resolution"], "parent_id", "child_id", rootless=True)
+    return hierarchy.descendants(tree_links(spark, d), ["tree", "resolution"], "parent_id", "child_id")
 
 
 def clean_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -76,10 +76,11 @@ nodes_ AS (SELECT tree, resolution, c AS n FROM links WHERE c IS NOT NULL UNION
 roots AS (
   SELECT tree, resolution, n FROM nodes_ WHERE (tree, resolution, n) NOT IN (SELECT tree, resolution, c FROM l)
   UNION SELECT tree, resolution, c FROM links WHERE p IS NULL AND c IS NOT NULL),
-r AS (
-  SELECT tree, resolution, n, 0 AS d FROM roots
-  UNION SELECT r.tree, r.resolution, l.c, r.d + 1 FROM r JOIN l ON l.tree = r.tree AND l.resolution = r.resolution AND l.p = r.n WHERE r.d < 150),
-lv AS (SELECT tree, resolution, n, min(d) AS depth FROM r GROUP BY 1, 2, 3),
+r(tree, resolution, n, depth) USING KEY (tree, resolution, n) AS (
+  SELECT tree, resolution, n, 0 FROM roots
+  UNION SELECT r.tree, r.resolution, l.c, min(r.depth + 1) FROM r JOIN l ON l.tree = r.tree AND l.resolution = r.resolution AND l.p = r.n
+  WHERE (l.tree, l.resolution, l.c) NOT IN (SELECT (q.tree, q.resolution, q.n) FROM recurring.r q) GROUP BY 1, 2, 3),
+lv AS (SELECT * FROM r),
 pa AS (
   SELECT k.tree, k.resolution, k.n, min(l.p) AS p FROM lv k JOIN l ON l.tree = k.tree AND l.resolution = k.resolution AND l.c = k.n
   JOIN lv q ON q.tree = l.tree AND q.resolution = l.resolution AND q.n = l.p AND q.depth = k.depth - 1 GROUP BY 1, 2, 3),
@@ -91,16 +92,8 @@ FROM nodes_ LEFT JOIN pt USING (tree, resolution, n)""",
     "p2_descendants": f"""
 WITH RECURSIVE {_LINKS},
 l AS (SELECT * FROM links WHERE p IS NOT NULL AND c IS NOT NULL),
-kids AS (SELECT DISTINCT tree, resolution, c FROM l WHERE p <> c),
-roots AS (
-  SELECT tree, resolution, p AS n FROM l WHERE (tree, resolution, p) NOT IN (SELECT tree, resolution, c FROM kids)
-  UNION SELECT tree, resolution, c FROM l WHERE p = c AND (tree, resolution, c) NOT IN (SELECT tree, resolution, c FROM kids)
-  UNION SELECT tree, resolution, c FROM links WHERE p IS NULL AND c IS NOT NULL),
-seen AS (
-  SELECT tree, resolution, n FROM roots
-  UNION SELECT s.tree, s.resolution, l.c FROM seen s JOIN l ON l.tree = s.tree AND l.resolution = s.resolution AND l.p = s.n),
 reach AS (
-  SELECT l.tree, l.resolution, l.p AS a, l.c AS n FROM l JOIN seen s ON s.tree = l.tree AND s.resolution = l.resolution AND s.n = l.p
+  SELECT tree, resolution, p AS a, c AS n FROM l
   UNION SELECT r.tree, r.resolution, r.a, l.c FROM reach r JOIN l ON l.tree = r.tree AND l.resolution = r.resolution AND l.p = r.n)
 SELECT tree, resolution, a AS ancestor_id, n AS node_id FROM reach""",
     "p6_found": """

@@ -12,8 +12,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -75,6 +76,16 @@ class Scratch:
         out._loom_path = path
         return out
 
+    def measured(self, df: DataFrame, **aggs: Column) -> tuple[DataFrame, dict]:
+        """``save``, and aggregates over the rows taken while they are written, without a job of their own."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *[a.alias(k) for k, a in aggs.items()]))
+        return out, seen.get
+
+    def together(self, dfs: Sequence[DataFrame]) -> DataFrame:
+        """The rows of several saved tables of one schema, in one scan."""
+        return self.spark.read.schema(dfs[0].schema).parquet(*[df._loom_path for df in dfs])
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := getattr(df, "_loom_path", None):

@@ -1,9 +1,7 @@
-"""Hierarchies against a plain walk, on both the joins and the one-task finish."""
+"""Hierarchies against a plain walk."""
 
 import random
 
-import pytest
-
 from loomgraph.operators import hierarchy as h
 
 LINKS = "tree string, parent_id string, child_id string, node_id int"
@@ -49,21 +47,22 @@ def truth(rows):
         for (g, c), p in new.items():
             paths[g, c] = [*paths[g, p], c]
         front = sorted(new, key=str)
-    return nodes, cycles, paths, {(g, a, d) for (g, a) in nodes if (g, a) in paths for d in reach[g, a]}
+    return nodes, cycles, paths, {(g, a, d) for (g, a) in nodes for d in reach[g, a]}
 
 
-def check(spark, rows, kernel):
+def check(spark, rows):
     links = df(spark, rows)
     nodes, cycles, paths, below = truth(rows)
-    got = {(r.tree, r.node_id) for r in h.cycle_nodes(links, ["tree"], "parent_id", "child_id", kernel).collect()}
+    got = {(r.tree, r.node_id) for r in h.cycle_nodes(links, ["tree"], "parent_id", "child_id").collect()}
     assert got == cycles
-    out = h.paths(links, ["tree"], "parent_id", "child_id", kernel).collect()
+    tree = h.paths(links, ["tree"], "parent_id", "child_id").cache()
+    out = tree.collect()
     assert {(r.tree, r.node_id) for r in out} == nodes and len(out) == len(nodes)
     for r in out:
         want = paths.get((r.tree, r.node_id))
         assert (list(r.path) if r.path else None) == want
         assert (r.depth, r.root_id) == ((len(want) - 1, want[0]) if want else (None, None))
-    pairs = h.descendants(links, ["tree"], "parent_id", "child_id").collect()
+    pairs = h.descendants(links, ["tree"], "parent_id", "child_id", tree).collect()
     assert {(r.tree, r.ancestor_id, r.node_id) for r in pairs} == below and len(pairs) == len(below)
 
 
@@ -76,20 +75,35 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_cases(spark, name):
-    check(spark, CASES[name], h.KERNEL_LINKS)
+def random_links(seed, nodes, links):
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(nodes)]
+    return [(r.choice("tu"), r.choice(names) if r.random() < 0.97 else None, r.choice(names)) for _ in range(links)]
+
+
+def test_graphs(spark):
+    """All graphs at once, each in groups of its own: forest-like ones, a dense one with a core in which
+    every node has several parents and children, and a ladder of joints."""
+    graphs = {**CASES, "sparse": random_links(2, 60, 75), "forest": random_links(3, 300, 330), "dense": random_links(4, 30, 120)}
+    graphs["ladder"] = [("t", f"{a}{i:02}", f"{b}{i + 1:02}") for i in range(8) for a in "ab" for b in "ab"]
+    check(spark, [(g and f"{name} {g}", p, c) for name, rows in graphs.items() for g, p, c in rows])
 
 
-def test_rounds_only(spark):
-    check(spark, CASES["cycle reached and cycle alone"], 0)
+def test_no_rows(spark):
+    links = df(spark, [])
+    assert h.cycle_nodes(links, ["tree"], "parent_id", "child_id").count() == h.paths(links, ["tree"], "parent_id", "child_id").count() == 0
 
 
-def test_random(spark):
-    r = random.Random(1)
-    names = [f"n{i}" for i in range(14)]
-    rows = [(r.choice("tu"), r.choice(names) if r.random() < 0.95 else None, r.choice(names)) for _ in range(18)]
-    check(spark, rows, h.KERNEL_LINKS)
+def test_long_chain_and_long_cycle(spark):
+    rows = [("t", f"c{i:03}", f"c{i + 1:03}") for i in range(500)] + [("t", "c100", "x0"), ("t", "x0", "c300")]
+    rows += [("t", f"k{i:03}", f"k{(i + 1) % 150:03}") for i in range(150)] + [("t", "k075", "tail"), ("t", "tail", "k149"), ("t", "tail", "end")]
+    links = df(spark, rows)
+    nodes, cycles, paths, below = truth(rows)
+    assert {(r.tree, r.node_id) for r in h.cycle_nodes(links, ["tree"], "parent_id", "child_id").collect()} == cycles
+    tree = h.paths(links, ["tree"], "parent_id", "child_id").cache()
+    assert {(r.tree, r.node_id): list(r.path) for r in tree.collect() if r.path} == paths and len(paths["t", "c500"]) == 303
+    pairs = h.descendants(links, ["tree"], "parent_id", "child_id", tree)
+    assert pairs.count() == pairs.distinct().count() == len(below)
 
 
 ROOTLESS = [
@@ -100,8 +114,7 @@ ROOTLESS = [
 ]
 
 
-@pytest.mark.parametrize("kernel", [h.KERNEL_LINKS, 0])
-def test_descendants_without_a_root(spark, kernel):
+def test_descendants_without_a_root(spark):
     kids = {}
     for g, p, c in ROOTLESS:
         kids.setdefault((g, p), set()).add(c)
@@ -113,7 +126,7 @@ def test_descendants_without_a_root(spark, kernel):
                 if (g, a, c) not in want:
                     want.add((g, a, c))
                     todo.append(c)
-    got = h.descendants(df(spark, ROOTLESS), ["tree"], "parent_id", "child_id", rootless=True, kernel_links=kernel).collect()
+    got = h.descendants(df(spark, ROOTLESS), ["tree"], "parent_id", "child_id").collect()
     assert {(r.tree, r.ancestor_id, r.node_id) for r in got} == want and len(got) == len(want)
     assert {("t", "p", "p"), ("t", "z", "y"), ("t", "p", "c"), (None, "q", "q")} <= want
 
