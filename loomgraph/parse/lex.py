@@ -36,12 +36,18 @@ def _words(text: str) -> frozenset[str]:
 
 _GO_ESC = r"\\(?:[abfnrtv\\%s]|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3})"
 _GO = re.compile(
-    r"(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<id>[^\W\d]\w*)"
+    r"[ \t\r]*(?:(?P<nl>\n)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<id>[^\W\d]\w*)"
     r"|(?P<num>(?:0[xX][\da-fA-F_]*(?:\.[\da-fA-F_]*)?(?:[pP][+-]?[\d_]+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?[\d_]+)?|\.\d[\d_]*(?:[eE][+-]?[\d_]+)?)i?)"
     r'|(?P<str>`[^`]*`|"(?:[^"\\\n]|' + _GO_ESC % '"' + r')*")|(?P<rune>\'(?:[^\'\\\n]|' + _GO_ESC % "'" + r")\')"
-    "|(?P<op>" + _ops("+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! != <= >= := ... ( ) [ ] { } , ; . : ~") + ")",
+    "|(?P<op>" + _ops("+ - * / % & | ^ << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= && || <- ++ -- == < > = ! != <= >= := ... ( ) [ ] { } , ; . : ~") + "))",
     re.S,
 )
+_GO_BLANK = re.compile(r"[ \t\r]*")
+_GO_D = r"\d(?:_?\d)*"
+_GO_NUM = re.compile(
+    rf"(?:0|[1-9](?:_?\d)*|0(?:_?[0-7])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|0[xX](?:_?[\da-fA-F])+)i?|{_GO_D}i|(?:{_GO_D}\.(?:{_GO_D})?(?:[eE][+-]?{_GO_D})?|{_GO_D}[eE][+-]?{_GO_D}|\.{_GO_D}(?:[eE][+-]?{_GO_D})?)i?"
+    rf"|0[xX](?:(?:_?[\da-fA-F])+\.?(?:[\da-fA-F](?:_?[\da-fA-F])*)?|\.[\da-fA-F](?:_?[\da-fA-F])*)[pP][+-]?{_GO_D}i?"
+)
 GO_KEYWORDS = _words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var")
 _GO_ENDS = _words("IDENT NUM STR RUNE break continue fallthrough return ++ -- ) ] }")
 _GO_ASSIGN = _words("= := += -= *= /= %= &= |= ^= <<= >>= &^=")
@@ -68,23 +74,24 @@ def go(src: str) -> Tokens:
     while pos < n:
         m = match(src, pos)
         if m is None:
-            add(ERROR, pos, pos + 1)
-            pos += 1
-            continue
-        g, a, pos = m.lastgroup, m.start(), m.end()
-        if g == "ws":
+            pos = _GO_BLANK.match(src, pos).end()
+            if pos < n:
+                add(ERROR, pos, pos + 1)
+                pos += 1
             continue
+        g = m.lastgroup
+        a, pos = m.span(g)
         if g == "com" or g == "nl":
             if g == "com":
                 t.comments.append((a, pos))
-                if src[a + 1] == "/" or "\n" not in m.group():
+                if src[a + 1] == "/" or "\n" not in m[g]:
                     continue
             if last in _GO_ENDS:
                 add(";", a, a)
             line = True
             continue
         if g == "id":
-            w = m.group()
+            w = m[g]
             if w in GO_KEYWORDS:
                 add(w, a, pos)
                 if w in ("if", "for", "switch", "select"):
@@ -94,7 +101,7 @@ def go(src: str) -> Tokens:
             else:
                 add("IDENT", a, pos)
         elif g == "op":
-            w = m.group()
+            w = m[g]
             if w in "([{":
                 if w == "{" and clauses and clauses[-1] == depth:
                     if last in ("struct", "interface") or _literal_type(kind):
@@ -120,6 +127,8 @@ def go(src: str) -> Tokens:
             elif w in _GO_BINARY:
                 w = "BIN"
             add(w, a, pos)
+        elif g == "num" and not ((w := m[g]).isdigit() and (w[0] != "0" or len(w) == 1)) and not _GO_NUM.fullmatch(w):
+            add(ERROR, a, pos)
         else:
             add({"num": "NUM", "str": "STR", "rune": "RUNE"}[g], a, pos)
     if last in _GO_ENDS:
@@ -163,11 +172,12 @@ def _func_open(kind: list[str], begin: list[int], clauses: list[int], funcs: lis
 # --- JavaScript and TypeScript ------------------------------------------------------------------
 
 _JS_ID = r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
+_JS_BLANK = re.compile(r"[ \t\v\f\xa0﻿  -   　]*")
 _JS = re.compile(
-    r"(?P<ws>[ \t\v\f\xa0﻿  -   　]+)|(?P<nl>[\n\r  ])|(?P<com>//[^\n\r  ]*|/\*.*?\*/)|(?P<id>" + _JS_ID + r")|(?P<priv>\#" + _JS_ID + ")"
+    _JS_BLANK.pattern + r"(?:(?P<nl>[\n\r  ])|(?P<com>//[^\n\r  ]*|/\*.*?\*/)|(?P<id>" + _JS_ID + r")|(?P<priv>\#" + _JS_ID + ")"
     r"|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+)n?(?![\w$])|(?:\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)(?![\w$]))"
     r'|(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|\'(?:[^\'\\\n\r]|\\(?:\r\n|.))*\')'
-    r"|(?P<op>\?\.(?!\d)|" + _ops("{ } ( ) [ ] ... . ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? : = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= => @") + ")",
+    r"|(?P<op>\?\.(?!\d)|" + _ops("{ } ( ) [ ] ... . ; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? : = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= => @") + "))",
     re.S,
 )
 _JS_TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
@@ -178,10 +188,27 @@ _JSX_STR = re.compile(r"\"[^\"]*\"|'[^']*'", re.S)
 JS_RESERVED = _words("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let")
 #: Words that are keywords only where the grammar asks for them.
 JS_CONTEXT = _words("async of get set static as from target meta")
-TS_CONTEXT = JS_CONTEXT | _words("type interface namespace module declare abstract readonly public private protected override implements is asserts infer keyof unique satisfies accessor require global out")
+TS_CONTEXT = JS_CONTEXT | _words("type interface namespace module declare abstract readonly public private protected override implements is asserts infer keyof unique satisfies accessor require global out using")
 _JS_VALUE_ENDS = _words("IDENT NUM STR TPL TPLT REGEX PRIV ) ] } this super null true false ++ -- J/> J>")
 _JS_ASSIGN = _words("+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=")
-_JS_BINARY = _words("<= >= == != === !== / % ** << && || ??")
+_JS_BINARY = _words("<= >= == != === !== / % <<")
+_JS_JOINS = {"&&": "LOG", "||": "LOG", "??": "NUL", "**": "POW"}
+#: Escapes that a string of a module may hold.
+_JS_TEXT = re.compile(r"(?:[^\\]|\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|u\{0*(?:10[\da-fA-F]{4}|[\da-fA-F]{1,5})\}|0(?!\d)|\r\n|[^xu\d]))*", re.S)
+_JS_GAPS = re.compile(r"__|_(?:$|[.eEn+-])|[.eExXbBoO+-]_")
+_JS_OPENS = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|[()]")
+
+
+def _js_regex(text: str) -> bool:
+    """Has the regular expression something to repeat, and does each of its round brackets close?"""
+    body, depth = text[1 : text.rindex("/")], 0
+    for m in _JS_OPENS.finditer(body):
+        depth += (m.group() == "(") - (m.group() == ")")
+        if depth < 0:
+            return False
+    return not depth and body[0] not in "*+?"
+
+
 _JS_BLOCK_BEFORE = _words("; { } => else do try finally")
 
 
@@ -365,6 +392,9 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
     while pos < n:
         m = match(src, pos)
         if m is None:
+            pos = _JS_BLANK.match(src, pos).end()
+            if pos >= n:
+                break
             if src[pos] == "`":
                 a = pos
                 pos, k = template(pos + 1, True)
@@ -375,21 +405,19 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
             add(ERROR, pos, pos + 1)
             pos += 1
             continue
-        g, a = m.lastgroup, pos
-        if g == "ws":
-            pos = m.end()
-            continue
+        g = m.lastgroup
+        a = m.start(g)
         if g == "nl":
             pos, line = m.end(), True
             continue
         if g == "com":
             pos = m.end()
             t.comments.append((a, pos))
-            if src[a + 1] == "*" and ("\n" in m.group() or "\r" in m.group()):
+            if src[a + 1] == "*" and ("\n" in m[g] or "\r" in m[g]):
                 line = True
             continue
         if g == "id":
-            pos, w = m.end(), m.group()
+            pos, w = m.end(), m[g]
             if last in (".", "?."):
                 add(w if w in JS_RESERVED or w in context else "IDENT", a, pos, True)
             elif w in JS_RESERVED:
@@ -403,12 +431,12 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                 add(w if w in context else "IDENT", a, pos, True)
             continue
         if g == "op":
-            w = m.group()
+            w = m[g]
             if w[0] == "/" and not value:
-                r = _JS_REGEX.match(src, pos)
+                r = _JS_REGEX.match(src, a)
                 if r:
                     pos = r.end()
-                    add("REGEX", a, pos, True)
+                    add("REGEX" if _js_regex(r.group()) else ERROR, a, pos, True)
                 else:
                     add(ERROR, a, a + 1)
                     pos = a + 1
@@ -465,6 +493,8 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                 add("ASG", a, pos)
             elif w in _JS_BINARY:
                 add("BIN", a, pos)
+            elif w in _JS_JOINS:
+                add(_JS_JOINS[w], a, pos)
             elif w == "|":
                 add("BAR", a, pos)
             elif w in ("++", "--"):
@@ -475,8 +505,11 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                 add(w, a, pos)
             continue
         pos = m.end()
-        if g == "num" and len(m.group()) > 1 and m.group()[0] == "0" and m.group()[1].isdigit():
+        w = m[g]
+        if g == "num" and (len(w) > 1 and w[0] == "0" and w[1].isdigit() or "_" in w and _JS_GAPS.search(w)):
             add(ERROR, a, pos)  # octal as of old, refused in modules
+        elif g == "str" and "\\" in w and not _JS_TEXT.fullmatch(w):
+            add(ERROR, a, pos)
         else:
             add({"num": "NUM", "str": "STR", "priv": "PRIV"}[g], a, pos, True)
     if stack and stack[-1][0] in ("tpl", "kids", "tag", "jsx{"):
