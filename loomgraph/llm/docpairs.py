@@ -36,8 +36,10 @@ _SCAN = {
         re.S | re.M,
     ),
 }
-_GO_NAME = re.compile(r"\s*(?:\(\s*[^()]*\)\s*)?([^\W\d]\w*)\s*[\[(]")
+_GO_NAME = re.compile(r"\s*(?:\(\s*(?:[^\W\d]\w*\s+)?\*?\s*(?P<owner>[^\W\d][\w.]*)?[^()]*\)\s*)?(?P<name>[^\W\d]\w*)\s*[\[(]")
 _NAME = re.compile(r"\s*\*?\s*([\w$]+)\s*[(<{]?")
+#: Type or contract whose braces hold the functions after it.
+_OWNER = {"sol": re.compile(r"\b(?:contract|interface|library)\s+([\w$]+)[^{};]*\Z"), "ts": re.compile(r"\bclass\s+([\w$]+)[^{};]*\Z")}
 _NOT_METHODS = frozenset("if for while switch catch return function with super await new typeof import require do else throw".split())
 _AFTER_PARAMS = re.compile(r"\s*(?::[^;{}=()]*(?:\{[^{}]*\}[^;{}=()]*)?)?\{")
 _MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|//+!?)?[ \t]?|[ \t]*\*+/[ \t]*$")
@@ -46,6 +48,7 @@ _MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|//+!?)?[ \t]?|[ \t]*\*+/[ \t]
 @dataclass
 class Declaration:
     name: str
+    owner: str | None
     line: int
     end_line: int
     doc: str | None
@@ -82,6 +85,8 @@ def declarations(language: str, src: str) -> Iterator[Declaration]:
     depth, open_paren = 0, 0
     waiting: list[Declaration] = []  # declared, body not yet open
     bodies: list[tuple[int, Declaration]] = []
+    owners: list[tuple[int, str]] = []  # depth and name of open types
+    owner_of, last_end = _OWNER.get(language), 0  # where the last brace ended: a head stands between two
     at_line = 0
     n_lines = len(starts)
 
@@ -124,10 +129,16 @@ def declarations(language: str, src: str) -> Iterator[Declaration]:
                 if waiting and open_paren == 0:
                     bodies.append((depth, waiting.pop()))
                     waiting.clear()
+                elif owner_of and (head := owner_of.search(src, last_end, m.start())):
+                    owners.append((depth, head.group(1)))
                 depth += 1
+                last_end = m.end()
             elif c == "}":
                 depth -= 1
                 open_paren = 0
+                last_end = m.end()
+                while owners and owners[-1][0] >= depth:
+                    owners.pop()
                 while bodies and bodies[-1][0] >= depth:
                     d = bodies.pop()[1]
                     d.end_line = line(m.start()) + 1
@@ -142,7 +153,7 @@ def declarations(language: str, src: str) -> Iterator[Declaration]:
             got = (_GO_NAME if language == "go" else _NAME).match(src, m.end())
             if not got:
                 continue
-            name = got.group(1)
+            name = got["name"] if language == "go" else got.group(1)
         else:
             name = m.group(g)
             if g == "meth":
@@ -155,7 +166,8 @@ def declarations(language: str, src: str) -> Iterator[Declaration]:
         if language == "go" and src[starts[ln] : a].strip("﻿ \t"):
             continue  # a literal or a type within a line
         open_paren = 0
-        waiting = [Declaration(name, ln + 1, ln + 1, doc_above(ln))]
+        owner = (got["owner"] if g == "decl" else None) if language == "go" else owners[-1][1] if owners else None
+        waiting = [Declaration(name, owner, ln + 1, ln + 1, doc_above(ln))]
     for _, d in reversed(bodies):
         d.end_line = n_lines
         yield d
@@ -163,40 +175,47 @@ def declarations(language: str, src: str) -> Iterator[Declaration]:
 
 
 def _opens_body(src: str, at: int) -> bool:
-    """Is the ( at ``at`` a parameter list before a body?"""
+    """Is the ( at ``at`` a parameter list before a body?  Strings, comments and expressions among the
+    parameters are passed over; a list of any length is read to its end."""
     depth = 0
-    for i in range(at, min(len(src), at + 4000)):
-        c = src[i]
-        if c == "(":
+    for m in _SCAN["ts"].finditer(src, at):
+        c = m["br"]
+        if c is None:
+            continue
+        if c in "([{":
             depth += 1
-        elif c == ")":
+        else:
             depth -= 1
             if not depth:
-                return _AFTER_PARAMS.match(src, i + 1) is not None
+                return c == ")" and _AFTER_PARAMS.match(src, m.end()) is not None
     return False
 
 
 _LANGUAGES = {".go": "go", ".sol": "sol"}
 
 
-def declared(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    """file_path, name, line, end_line, doc (null without comment), code (its whole lines) of every function, method and
-    modifier in the files, where they lie; null and other contents give no rows."""
+DECLARED = pa.schema([("file_path", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("doc", pa.string()), ("code", pa.string())])
+
+
+def declared(files: DataFrame, path: str = "file_path", content: str = "content", code: bool = True) -> DataFrame:
+    """file_path, name, owner (type or contract it belongs to), line, end_line, doc (null without comment) and
+    code (its whole lines, null if not asked for) of every function, method and modifier in the files,
+    where they lie; null and other contents give no rows."""
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in DECLARED]
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ext = extension(p)
                 if ext is None or not c:
                     continue
-                rows = c.split("\n")
+                rows = c.split("\n") if code else None
                 for d in declarations(_LANGUAGES.get(ext, "ts"), c):
-                    for x, v in zip(out, (p, d.name, d.line, d.end_line, d.doc, "\n".join(rows[d.line - 1 : d.end_line])), strict=True):
+                    for x, v in zip(out, (p, d.name, d.owner, d.line, d.end_line, d.doc, "\n".join(rows[d.line - 1 : d.end_line]) if code else None), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], names=["file_path", "name", "line", "end_line", "doc", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, DECLARED, strict=True)], schema=DECLARED)
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "file_path string, name string, line int, end_line int, doc string, code string")
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "file_path string, name string, owner string, line int, end_line int, doc string, code string")
 
 
 # --- does documentation say something? -----------------------------------------------------------
@@ -206,10 +225,15 @@ _DIRECTIVE = re.compile(
     re.I,
 )
 _TODO = re.compile(r"^[\W_]*(?:todo|fixme|xxx|tbd|hack|wip)\b", re.I)
-_LEGAL = re.compile(r"copyright|©|\(c\)\s*\d|spdx|all rights|licen[cs]e\b|\bheirs\b|^(?:created|written|authored|added|maintained) (?:by|on)\b|^@?(?:author|since|version|copyright|license)\b", re.I)
+#: A notice has the shape of one: a mark with a year or holder, or a phrase that grants or keeps rights.
+_LEGAL = re.compile(
+    r"^\W*(?:copyright|©|\(c\))\W*(?:\(c\)|©)?\s*(?:\d{4}|(?:by|of)\b)|^\W*spdx-|\ball rights\b.*\b(?:reserved|kept|held)\b|^\W*(?:licen[cs]ed under|released under|distributed under|published under|this (?:file|code) is (?:licen[cs]ed|part of|released|governed))\b|^\W*licen[cs]e\s*:"
+    r"|^(?:created|written|authored|added|maintained) (?:by|on)\b|^@?(?:author|since|version|copyright|license)\b(?!\s+\w+\s+(?:is|are|was|were|has|have|must|may|can)\b)",
+    re.I,
+)
 _POINTER = re.compile(r"^(?:\(?\s*(?:see|cf\.?|siehe|voir|v[ée]ase|refer to|as)\s+(?:also\s+)?(?:the\s+)?(?:above|below|oben|unten|ci-dessus|ci-dessous|arriba|abajo|there|dort|[\w.#/:-]+(?:\(\))?|\{?@?\w*\s*[\w.]+\}?)\s*\)?[.!]?|\{@(?:link|see|inheritdoc)[^}]*\}[.!]?|위 참고\S*|위와 같음\S*|@see\b.*|@inheritdoc\b.*|https?://\S+)$", re.I)
 _STOCK = re.compile(
-    r"^[\W_]*(?:(?:no|without|missing) (?:comment|documentation|docs?|description)|undocumented|generated stub\b.*|(?:please )?replace this text.*|(?:a |the )?(?:description|documentation|summary|doc)(?: of (?:the|this) (?:function|method|modifier))?(?: goes here| follows| here)?"
+    r"^[\W_]*(?:(?:no|without|missing) (?:comment|documentation|docs?|description)(?: (?:yet|available|provided|here|so far|sorry))*|(?:getter|setter|accessor)(?: (?:for|of))?(?: (?:the|a))?(?: [\w$]+){0,2}(?: (?:property|field|value|attribute))+|undocumented|generated stub\b.*|(?:please )?replace this text.*|(?:a |the )?(?:description|documentation|summary|doc)(?: of (?:the|this) (?:function|method|modifier))?(?: goes here| follows| here)?"
     r"|beschreibung(?: folgt)?|folgt|à compléter|description à venir|por hacer|descripci[oó]n pendiente|설명 ?(?:추가 )?예정|설명 없음|추후 작성|(?:begin|start|end|end of)(?: of)? (?:section|function|method|block|file|region|\w+)|helper(?: function| method)?|internal(?: use only)?|misc|utils?|function|method|modifier|add docs?|document(?: me| this)?|none|n/?a|self[- ]explanatory|obvious)[\W_]*$",
     re.I,
 )
@@ -218,7 +242,9 @@ _CODE_WORDS = frozenset("nil null err error true false undefined this self ok".s
 _TAG = re.compile(r"^@(\w+)\b[ \t:]*")
 #: Tags that open ordinary sentences.
 _PROSE_TAGS = frozenset("notice dev desc description summary brief details remarks title".split())
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+")
+#: Scripts that write without blanks: two signs count as a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_DENSE}]{{1,2}}|[^\W\d_{_DENSE}]+(?:['’][^\W\d_]+)?|\d+")
 _PARTS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_A-Za-z]+")
 #: Words that tell nothing of their own.
 _EMPTY = frozenset(
@@ -226,6 +252,7 @@ _EMPTY = frozenset(
     " function functions method methods modifier func implementation impl helper routine procedure implements performs handles given param parameter returns return arg argument value values object instance"
     " new name type begin end start section 함수 메서드 메소드 함수입니다 이다 funktion methode fonction función método die der das ein eine le la les un une el los".split()
 )
+_ALONE = re.compile(r"[^\W\d_]{6,}[.。]")
 _RETURNING = frozenset({"returns", "return"})
 
 
@@ -318,7 +345,8 @@ def informative(doc: str | None, name: str | None, signature: str | None = None,
                 continue
             seen.add(s)
             left += 1
-        if left >= 2:
+        # one word that isn't in the name is enough for a sentence of its own
+        if left >= 2 or left == 1 and _ALONE.fullmatch(u.strip()):
             return True
     return False
 
@@ -333,27 +361,28 @@ def says_something(doc, name, signature, qualified_name):
 KINDS = ("Function", "Method", "Modifier")
 
 
-def documented(nodes: DataFrame, files: DataFrame, code: bool = False) -> DataFrame:
-    """id, qualified_name, signature, documentation of the functions, methods and modifiers (one row
-    per id in ``nodes``) whose documentation says something.
+def documented(nodes: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
+    """id, qualified_name, signature, documentation, code, first_line and last_line of the functions, methods and
+    modifiers (one row per id in ``nodes``) whose documentation says something.
 
-    ``doc_comment`` counts if it isn't null; else the comment directly above the declaration of that
-    name in the file, of several the one nearest to ``start_line``.  Contents of files never move:
-    only the declarations found in them are joined.  Where a file occurs repeatedly any copy serves.
-    With ``code`` the same rows have the text of that declaration too, to the brace that ends it; null
-    if the file or the name isn't found.
+    All functions of all files go through the state machine.  A node takes the declaration of its name in
+    its file: one of the same owner before others, then the one nearest to ``start_line``.  ``doc_comment``
+    counts if it isn't null; else the comment directly above that declaration.  ``code`` is the text of
+    the declaration to the brace that ends it; code and lines are null if the file or the name isn't
+    found, code also if not asked for.  Contents of files never move: only the declarations found in them
+    are joined.  Where a file occurs repeatedly any copy serves.
     """
     own = nodes.where(F.col("type").isin(*KINDS)).select("id", "name", "qualified_name", "signature", "doc_comment", "file_path", "start_line")
-    if code:
-        told = own.where(F.col("doc_comment").isNull() | says_something("doc_comment", "name", "signature", "qualified_name"))
-        decl = declared(files).select("file_path", "name", F.col("line").alias("decl_line"), "doc", "code")
-        near = F.struct(F.abs(F.col("decl_line") - F.coalesce("start_line", F.lit(0))).alias("far"), "decl_line", "doc", "code")
-        found = told.join(decl, ["file_path", "name"], "left").groupBy("id", "name", "qualified_name", "signature", "doc_comment").agg(F.min(F.when(F.col("decl_line").isNotNull(), near)).alias("x"))
-        found = found.select("id", "name", "qualified_name", "signature", F.coalesce("doc_comment", "x.doc").alias("documentation"), F.col("x.code").alias("code")).where("documentation is not null")
-        return found.where(says_something("documentation", "name", "signature", "qualified_name")).select("id", "qualified_name", "signature", "documentation", "code")
-    have = own.where("doc_comment is not null").select("id", "name", "qualified_name", "signature", F.col("doc_comment").alias("documentation"))
-    lack = own.where("doc_comment is null")
-    decl = declared(files).select("file_path", "name", F.col("line").alias("decl_line"), "doc")
-    near = F.struct(F.abs(F.col("decl_line") - F.coalesce("start_line", F.lit(0))).alias("far"), "decl_line", "doc")
-    found = lack.join(decl, ["file_path", "name"]).groupBy("id", "name", "qualified_name", "signature").agg(F.min(near).alias("x")).select("id", "name", "qualified_name", "signature", F.col("x.doc").alias("documentation")).where("documentation is not null")
-    return have.union(found).where(says_something("documentation", "name", "signature", "qualified_name")).select("id", "qualified_name", "signature", "documentation")
+    # what a node itself says in vain needs no source
+    told = own.where(F.col("doc_comment").isNull() | says_something("doc_comment", "name", "signature", "qualified_name"))
+    decl = declared(files, code=code).select("file_path", "name", "owner", F.col("line").alias("first_line"), F.col("end_line").alias("last_line"), "doc", "code")
+    # a name of one part has no owner
+    found = told.withColumn("_q", F.concat(F.lit("."), F.coalesce("qualified_name", F.lit(""))))
+    other = ~F.coalesce(F.col("owner") == F.element_at(F.split("_q", "[.]"), -2), F.lit(False))
+    near = F.struct(other.alias("other"), F.abs(F.col("first_line") - F.coalesce("start_line", F.lit(0))).alias("far"), "first_line", "last_line", "doc", "code")
+    best = found.join(decl, ["file_path", "name"], "left").groupBy("id").agg(
+        F.min(F.when(F.col("first_line").isNotNull(), near)).alias("x"), *[F.min(c).alias(c) for c in ("name", "qualified_name", "signature", "doc_comment")]
+    )
+    out = best.select("id", "name", "qualified_name", "signature", F.coalesce("doc_comment", "x.doc").alias("documentation"), F.col("x.code").alias("code"), F.col("x.first_line").alias("first_line"), F.col("x.last_line").alias("last_line"), F.col("doc_comment").isNotNull().alias("sure"))
+    out = out.where("documentation is not null").where(F.col("sure") | says_something("documentation", "name", "signature", "qualified_name"))
+    return out.drop("name", "sure")

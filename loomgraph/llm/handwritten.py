@@ -1,11 +1,11 @@
 """Source files that nobody on the team wrote by hand.
 
-Three looks at each file, and one across files:
+One look across files, and two at each file that is left:
 
-* the leading comment: a program's mark that the file is its output, or another project's notice;
-* the composition: minified text, data in the shape of code, members repeated by count;
 * an inverted index of line hashes, least frequent first: a file whose rare lines are contained in a file of another
-  repository is a copy, edited or not, wherever it lies.
+  repository is a copy, edited or not, wherever it lies;
+* the leading comment: a program's mark that the file is its output, or another project's notice;
+* the composition: minified text, data in the shape of code, members repeated by count.
 
 Paths and ignore lists are no evidence of their own.
 """
@@ -22,20 +22,27 @@ from loomgraph.session import Scratch
 
 #: A line is rare if at most this share of all different files (sets of lines), or this many, have it.
 RARE_SHARE, RARE_MIN = 0.005, 20
+#: Two holders of a more frequent line are versions of one file if they share so many lines and this part of the larger's.
+ALIKE_MIN, ALIKE = 12, 0.6
 #: Shorter lines (trimmed) say nothing about a file.
 LINE_MIN = 12
-#: A copy shares at least so many rare lines, and this part of its own, with one other file.
-SHARED_MIN, CONTAINED = 3, 0.6
+#: A copy shares at least so many specific lines, and this part of its own, with one other file.
+SHARED_MIN, CONTAINED = 5, 0.6
 
 # --- marks in the leading comment ------------------------------------------------------------------
 
 _LEAD = re.compile(r"(?:\s*(?:#![^\n]*|//[^\n]*|/\*.*?\*/|﻿))*", re.S)
+#: Statements about the file itself: a mark at the start of a line or sentence, or a verb whose subject is
+#: the file, and a request that has no other object than it.
 _MADE = re.compile(
-    r"\bcode generated\b|@generated\b|<auto-?generated\b|\b(?:auto(?:matically)?|machine)[- ]?(?:generated|made|written)\b|\b(?:generated|produced|emitted|created|written|made) by (?:the |a |an )?[\w.@/-]*(?:\s[\w-]+)?\s*(?:compiler|generator|tool|script|v?\d)|\bdo not (?:edit|modify|change)\b"
+    r"\bcode generated\b|(?<!\w)@generated\b|<auto-?generated\b"
+    r"|(?:^|[.;:!]\s+|\b(?:is|was|are|were|been|be|file|code|this)\s+)[\W_]*(?:auto(?:matically)?|machine)[- ]?(?:generated|made|written)\b(?!\s+(?:\w+\s+)?(?:files|clients|sources|types|ids?|names?|tests|docs)\b)"
+    r"|(?:^|[.;:!]\s+|\b(?:is|was|are|were|been|file|code|this)\s+)[\W_]*(?:generated|produced|emitted|created|written|made) by (?:the |a |an )?[\w.@/-]*(?:\s[\w-]+)?\s*(?:compiler|generator|tool|script|v?\d)"
+    r"|\bdo not (?:edit|modify|change)\b(?=\s*(?:$|[^\w\s]|(?:this|it|the (?:file|code|contents?|output)|by hand|manually|directly|anything|below|here)\b))"
     r"|\b(?:manual|hand|local) (?:changes|edits) (?:will be|are|get) (?:lost|overwritten)|\binstead of (?:changing|editing) (?:it|this)|자동 ?(?:으로 )?생성|직접 수정하지|automatisch (?:erzeugt|generiert)|générée? automatiquement|generado automáticamente",
-    re.I,
+    re.I | re.M,
 )
-_NOT_MADE = re.compile(r"\b(?:used to be|no longer|not|never|formerly|once) (?:auto-?)?(?:generated|machine)|\bby hand since\b|\bhand-?written\b", re.I)
+_NOT_MADE = re.compile(r"\b(?:used to be|no longer|not|never|formerly|once) (?:auto-?)?(?:generated|machine)|\bby hand since\b|\bhand-?written\b|\b(?:written|made|kept) by hand\b", re.I)
 #: name of the project whose notice stands there
 _OWNER = re.compile(
     r"vendored from (?:the )?(?P<a>[\w.@/-]+)|copied (?:\w+ )?(?:out of|from) (?:the )?(?P<b>[\w.@/-]+)|(?:copyright|\(c\)|©)[^\n]*?\b\d{4}(?:\s*-\s*\d{4})?,? (?:by )?(?:the )?(?P<c>[\w.-]+) (?:authors|contributors|project|developers|team)|/\*!\s*\*?\s*(?P<d>[\w.@/-]+) v?\d+\.\d",
@@ -101,7 +108,6 @@ def mark(repo: str | None, content: str) -> str | None:
     lead = _LEAD.match(content).group()
     if not lead.strip():
         return None
-    lead = lead[:4000]
     if _MADE.search(lead) and not _NOT_MADE.search(lead):
         return "generated"
     for m in _OWNER.finditer(lead):
@@ -139,39 +145,68 @@ def judged(files: DataFrame) -> DataFrame:
 
 
 def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RARE_MIN, shared_min: int = SHARED_MIN, contained: float = CONTAINED) -> DataFrame:
-    """file_id of the files whose rare lines are, for ``contained`` of them, in one file of another
-    repository; a file with fewer than ``shared_min`` rare lines is compared by all its lines.
-
-    Files with equal sets of lines form one class, so copies as they stand never make pairs.  A class
-    whose n lines are contained in a partner for ``need`` of them shares at least one of any
-    n - need + 1, so the partners of its so many least frequent lines are all that can contain it.
-    Each of these outside its own repository is compared exactly.
+    """file_id of the files whose specific lines are, for ``contained`` of them, in one file of another
+    repository; a file with fewer than ``shared_min`` such lines is no copy unless it is one as it stands.
+
+    Files with equal sets of lines form one class, so copies as they stand never make pairs.  A line is
+    specific if it is rare, or if its holders are versions of one file: of two random pairs of them both
+    share ``ALIKE`` of their lines.  So a library's lines count however many repositories hold edited
+    copies of it, while phrases of the language and preambles, whose holders differ, don't.
+
+    A class whose n lines are contained in a partner for ``need`` of them has so many lines that occur in
+    other repositories at all; most classes end there, without a pair.  It also shares with the partner at
+    least one of any n - need + 1 lines, so the partners of its so many least frequent lines are all that
+    can contain it.  Each line's hubs (the classes first and last by hash) are tried first: members of a
+    popular group meet there.  What they don't confirm is compared exactly with every such partner of
+    other repositories.
     """
     scratch = Scratch(files.sparkSession, "copies")
-    line = F.filter(F.transform(F.split("content", "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t﻿]", " "))), lambda x: F.length(x) >= LINE_MIN)
+    line = F.filter(F.transform(F.split("content", "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "[\t﻿]", " "))), lambda x: F.length(x) >= LINE_MIN)
     hashed = files.where("file_id is not null and content is not null").select("file_id", "repo", F.array_sort(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("hs"))
     # a file that comes again counts once
-    one = scratch.save(hashed.where(F.size("hs") > 0).groupBy("file_id").agg(F.min(F.struct("repo", "hs")).alias("x")).select("file_id", "x.repo", "x.hs").withColumn("cls", F.xxhash64("hs", F.size("hs"))))
+    one = hashed.where(F.size("hs") > 0).groupBy("file_id").agg(F.min(F.struct("repo", "hs")).alias("x")).select("file_id", "x.repo", "x.hs")
+    one = scratch.save(one.withColumn("cls", F.xxhash64("hs", F.size("hs"))))
     cls = scratch.save(one.groupBy("cls").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"), F.min("hs").alias("hs")))
     limit = max(rare_min, int(rare_share * cls.count()))
-    lines = scratch.save(cls.select("cls", "r0", "r1", F.explode("hs").alias("h")))
-    counts = lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # as many entries as the file has lines
-    known = lines.join(counts, "h").groupBy("cls", "r0", "r1").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
-    known = known.withColumn("rare", F.filter("all", lambda x: x["df"] <= limit))
-    known = known.select("cls", "r0", "r1", F.when(F.size("rare") >= shared_min, F.col("rare")).otherwise(F.col("all")).alias("own")).where(F.size("own") >= shared_min)
-    known = scratch.save(known.withColumn("need", F.greatest(F.lit(shared_min), F.ceil(F.lit(contained) * F.size("own")).cast("int"))))
-    prefix = known.select("cls", "r0", "r1", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")).alias("x")).where("x.df > 1").select("cls", "r0", "r1", F.col("x.h").alias("h"))
-    partners = lines.select(F.col("cls").alias("partner"), F.col("r0").alias("h0"), F.col("r1").alias("h1"), "h")
-    # of different repositories: not both wholly in one and the same
-    other = ~((F.col("r0") == F.col("r1")) & (F.col("h0") == F.col("h1")) & (F.col("r0") == F.col("h0")))
-    pairs = scratch.save(prefix.join(partners, "h").where(F.col("cls") != F.col("partner")).where(other).select("cls", "partner").distinct())
-    both = pairs.join(known.select("cls", F.col("own.h").alias("own"), "need"), "cls").join(cls.select(F.col("cls").alias("partner"), "hs"), "partner")
-    copied = both.where(F.size(F.array_intersect("own", "hs")) >= F.col("need")).select("cls")
+    lines = scratch.save(cls.select("cls", "r0", "r1", F.size("hs").alias("size"), F.explode("hs").alias("h")))
+    first, second = (F.struct(F.xxhash64("cls", F.lit(x)).alias("order"), "cls", "r0", "r1") for x in ("one", "two"))
+    counts = scratch.save(lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("r0").alias("m0"), F.max("r1").alias("m1"), F.min(first).alias("a"), F.max(first).alias("z"), F.min(second).alias("b"), F.max(second).alias("y")))
+    often = counts.where(F.col("df") > limit).select("h", F.explode(F.array(F.struct(F.col("a.cls").alias("p"), F.col("z.cls").alias("q")), F.struct(F.col("b.cls").alias("p"), F.col("y.cls").alias("q")))).alias("x")).select("h", "x.p", "x.q")
+    tried = often.select("p", "q").distinct().join(cls.select(F.col("cls").alias("p"), F.col("hs").alias("hp")), "p").join(cls.select(F.col("cls").alias("q"), F.col("hs").alias("hq")), "q")
+    both = F.size(F.array_intersect("hp", "hq"))
+    alike = tried.select("p", "q", ((both >= ALIKE_MIN) & (both >= ALIKE * F.greatest(F.size("hp"), F.size("hq")))).alias("alike"))
+    popular = scratch.save(often.join(alike, ["p", "q"]).groupBy("h").agg(F.min("alike").alias("alike")).where("alike").select("h", F.lit(True).alias("popular")))
+    counts = counts.join(popular, "h", "left").where((F.col("df") <= limit) | F.col("popular"))
+    # classes of several repositories are copies as they stand
+    single = lines.where("r0 <=> r1")
+    # as many entries as the file has lines; those of this repository alone come first
+    entry = F.struct(((F.col("m0") != F.col("r0")) | (F.col("m1") != F.col("r0"))).alias("away"), "df", "h", "a", "z", "b", "y")
+    known = single.join(counts, "h").groupBy("cls", "r0").agg(F.array_sort(F.collect_list(entry)).alias("own")).where(F.size("own") >= shared_min)
+    known = known.withColumn("need", F.greatest(F.lit(shared_min), F.ceil(F.lit(contained) * F.size("own")).cast("int")))
+    known = scratch.save(known.where(F.size(F.filter("own", lambda x: x["away"])) >= F.col("need")))
+    prefix = known.select("cls", "r0", "need", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")).alias("x")).where("x.away")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(known.select("cls", F.col("own.h").alias("own"), "need"), "cls").join(cls.select(F.col("cls").alias("partner"), "hs"), "partner")
+        return scratch.save(both.where(F.size(F.array_intersect("own", "hs")) >= F.col("need")).select("cls").distinct())
+
+    hubs = prefix.select("cls", "r0", F.explode(F.array("x.a", "x.z", "x.b", "x.y")).alias("p")).where("cls <> p.cls and not (p.r0 = r0 and p.r1 = r0)").select("cls", F.col("p.cls").alias("partner")).distinct()
+    quick = confirmed(hubs)
+    left = prefix.join(quick, "cls", "left_anti").select("cls", "r0", "need", F.col("x.h").alias("h"))
+    partners = lines.select(F.col("cls").alias("partner"), F.col("r0").alias("h0"), F.col("r1").alias("h1"), "size", "h")
+    exact = left.join(partners, "h").where("cls <> partner and size >= need and not (h0 = r0 and h1 = r0)").select("cls", "partner").distinct()
+    slow = confirmed(exact.join(hubs, ["cls", "partner"], "left_anti"))
     whole = cls.where(F.col("r0") != F.col("r1")).where(F.size("hs") >= shared_min).select("cls")
-    return one.join(copied.union(whole).distinct(), "cls", "left_semi").select("file_id")
+    return one.join(quick.union(slow).union(whole).distinct(), "cls", "left_semi").select("file_id")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
-    """file_id, reason ('generated', 'third-party', 'minified', 'data' or 'copy'), one row a file."""
-    return judged(files).union(copies(files).withColumn("reason", F.lit("copy"))).groupBy("file_id").agg(F.max("reason").alias("reason"))
+    """file_id, reason ('copy', else 'generated', 'third-party', 'minified' or 'data'), one row a file.
+
+    The index decides first.  Marks and token composition decide for the files it leaves; they are read where
+    the contents lie, and only the reasons of copies are dropped, so that no content moves.
+    """
+    scratch = Scratch(files.sparkSession, "handwritten")
+    copied = scratch.save(copies(files).distinct())
+    rest = judged(files).groupBy("file_id").agg(F.max("reason").alias("reason")).join(copied, "file_id", "left_anti")
+    return copied.withColumn("reason", F.lit("copy")).unionByName(rest)

@@ -80,7 +80,7 @@ def _step(tables: Tables, tops: list[_Stack], kind: str, second: str | None) ->
 
 def parse(tables: Tables, toks: lex.Tokens, semicolons: bool) -> int | None:
     """``semicolons``: insert them by JavaScript's rules where a token doesn't fit."""
-    action, goto, rules = tables.action, tables.goto, tables.rules
+    action, goto, rules, chains = tables.action, tables.goto, tables.rules, tables.chains
     kinds = toks.kind
     n = len(kinds)
     states, tops = [0], None
@@ -103,6 +103,17 @@ def parse(tables: Tables, toks: lex.Tokens, semicolons: bool) -> int | None:
             second = SECOND.get(kind) if semicolons else None
             while True:
                 s = states[-1]
+                if second is None and len(states) > 1:
+                    below = states[-2]
+                    to = chains.get((below, s, kind))
+                    if to is None:
+                        to, t = s, action[s].get(kind)
+                        while t.__class__ is int and t <= -2 and rules[-2 - t][1] == 1 and (g := goto[below].get(rules[-2 - t][0])) is not None:
+                            to = g
+                            t = action[to].get(kind)
+                        chains[below, s, kind] = to
+                    if to != s:
+                        states[-1] = s = to
                 a = action[s].get(kind)
                 if second is not None:
                     b = action[s].get(second)

@@ -6,7 +6,7 @@ A state may keep several actions for a token; the parser then follows all of the
 from __future__ import annotations
 
 import pkgutil
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import product
 
@@ -21,6 +21,8 @@ class Tables:
     action: list[dict[str, int | tuple[int, ...]]]
     goto: list[dict[str, int]]
     rules: list[tuple[str, int]]
+    #: (state below, state, token) -> the state after all reductions by rules of one symbol; filled while parsing
+    chains: dict[tuple[int, int, str], int] = field(default_factory=dict)
 
 
 def read_rules(text: str, flags: frozenset[str]) -> list[tuple[str, tuple[str, ...]]]:
@@ -30,7 +32,7 @@ def read_rules(text: str, flags: frozenset[str]) -> list[tuple[str, tuple[str, .
         line = line.split("#", 1)[0].strip() if not line.startswith("#") else ""
         if not line:
             continue
-        if line[0] == "@" and line.split()[0][1:] in ("ts",):
+        if line[0] == "@" and line.split()[0] in ("@ts", "@js"):
             flag, line = line.split(None, 1)
             if flag[1:] not in flags:
                 continue

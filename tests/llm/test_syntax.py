@@ -54,3 +54,40 @@ def test_refused(name, src):
 def test_lines_and_names():
     assert first_error("x/a.go", "package a\n\nfunc f() {\n\tx := )\n}\n") == 4
     assert first_error("a.txt", "((") is None and first_error("A.GO", "((") == 1
+
+
+def body(x):
+    return f"package p\nfunc f() {{\n{x}\n}}\n"
+
+
+@pytest.mark.parametrize("x", ["go x", "go (x())", "defer 1", "x := 08", "x := 1_", "x := 1__0", "var g func(a int, b)", "x := 0x"])
+def test_go_refuses(x):
+    assert first_error("a.go", body(x)) == 3
+
+
+@pytest.mark.parametrize("x", ["go x()", "go func() {}()", "defer a.b(c...)", "x := 0b1_0 + 0x_fp1 + 1_000.5e3 + 08.5 + 0_7 + 08i", "go a[b](c)", "defer int(x)", "f(func(a, b int, c ...string) (x int, err error) { return })", "var f func(int, ...string) (int, error)"])
+def test_go_accepts(x):
+    assert first_error("a.go", body(x)) is None
+
+
+JS_BAD = ["const x;", "let {a};", "++a++", "(a, b) = 1", "f() = 1", "function f(...a, b) {}", "(...a, b) => 1", "a ?? b || c", "-1 ** 2", "({get a(b) {}})", "1__0", "/a(/", "'\\u{110000}'", "let [...a, b] = c", "a?.b = 1", "1 = 2", "'\\1'", "/+a/"]
+JS_GOOD = [
+    "const x = 1", "let {a} = b, c", "a++", "++a.b", "(a).b = 1", "[a, b] = [b, a]", "({a} = b)", "function f(a, ...b) {}", "(a, ...b) => 1", "(a ?? b) || c", "a || b && c", "(-1) ** 2", "a ** -b", "({get a() {}, set a(b) {}, get() {}})", "1_0.5e1_0",
+    "/a(b)[(]\\(/", "'\\u{10ffff}\\x41\\0'", "for (const [a, b] of c) {}", "for (a.b of c) {}", "for (x in y) {}", "a[b] += c", "(a) = 1", "x = async y => y", "let f = ({a, b = 1, ...c}, [d,, e], ...g) => {}", "new Foo().bar = 1", "this.x = 1", "let {a = 1, b: {c}} = d",
+    "((a)) = 2", "a = b = c", "(function() {})()", "x = {a, b, c() {}, ['d']: 1, ...e}", "[a.b, c[d]] = e", "throw new Error(`x ${a}`)",
+]
+TS_GOOD = [
+    "type A = import('x').Y<Z>", "using x = y;", "await using x = y", "let a: number", "a! = 1", "(a as any) = 1", "(<any>a) = 1", "class A { get x(): number { return 1 } set x(v: number) {} private m?(a?: string, ...r: any[]): void {} }", "declare const x: number", "x = a as B ?? c",
+    "abstract class A { abstract get x(): number; set y(v) {} }", "export const { a, b }: T = c", "(a.b as T).c = d", "function f(this: Foo, a = 1, { b }: X = {}) {}", "let using = 1", "new Map<string, A>()",
+]
+
+
+@pytest.mark.parametrize("x", JS_BAD)
+def test_js_refuses(x):
+    # TypeScript leaves constants without a value to the check of ambient declarations
+    assert first_error("a.js", x + "\n") == 1 and (x == "const x;" or first_error("a.ts", x + "\n") == 1)
+
+
+@pytest.mark.parametrize("x", JS_GOOD + TS_GOOD)
+def test_ts_accepts(x):
+    assert first_error("a.ts", x + "\n") is None and (x in TS_GOOD or first_error("a.js", x + "\n") is None)
