@@ -1,8 +1,9 @@
 """Template residue, filler and error pages among documents.
 
 Placeholders are found by one small grammar per pair of delimiters, in the prose only: fenced blocks,
-inline code, link targets and paths are discounted, and delimiters that prose, wikis or make files use
-themselves must hold a name that reads like a field.  A page is filler or an error page when, apart
+inline code, link targets and paths are discounted, delimiters that prose, wikis or make files use
+themselves must hold a name that reads like a field, and sentences about such marks, or a tutorial that
+has several of them, are discounted unless the marks are dense.  A page is filler or an error page when, apart
 from titles, navigation and courtesies, all of its sentences are: text *about* such pages brings
 sentences of its own, or quotes.
 """
@@ -53,6 +54,11 @@ _SOME = re.compile(
     r"|\$\((?P<make>[^\W\d][\w ]*)\)"
 )
 _MAKE = re.compile(r"make|shell|bash|env\b|build file", re.I)
+#: A line that speaks of such marks uses them as examples.
+_ABOUT = re.compile(r"\b(?:placeholders?|curly|braces|brackets|syntax|handlebars|jinja2?|mustache|liquid|erb|interpolat\w+|substitut\w+|(?:template|format) (?:strings?|engines?|languages?|variables?)|(?:expands?|renders?|evaluates?) to|platzhalter|geschweifte|accolades|llaves|자리 ?표시자|치환)\b", re.I)
+#: A form's field that nobody filled: a short name, a colon and nothing but a mark for later.
+_EMPTY_FIELD = re.compile(r"^[ \t]*(?:[-*+•|]+[ \t]*)?(?:\*\*|__)?[^\W\d_][^\n:.,;!?|]{0,30}?(?:\*\*|__)?[ \t]*:(?:\*\*|__)?[ \t]*(?:tbd|tba|tbc|to be (?:determined|defined|announced|filled in)|_{4,}|\.{5,}|\?{3,}|x{4,})[ \t]*\.?[ \t]*$", re.I | re.M)
+_LATER = re.compile(r":(?:\*\*|__)?[ \t]*(?:tb[acd]\b|to be |_{4}|\.{5}|\?{3}|x{4})", re.I)
 
 
 def _field(name: str) -> bool:
@@ -65,27 +71,44 @@ def prose(text: str) -> str:
     return _INLINE.sub(" ", _FENCE.sub("\n", text))
 
 
-def placeholder(text: str) -> bool:
-    """Does the prose hold an unfilled placeholder?"""
+def _marks(text: str):
+    """Where unfilled placeholders stand in the prose."""
     for m in _ANY.finditer(text):
         a = m.start()
         if m.group()[0] in "<[{(" and m.group()[1] not in "{%$" and a and text[a - 1] in "\"'":
             continue
-        return True
+        yield m
     for m in _SOME.finditer(text):
         kind, name = m.lastgroup, m.group(m.lastgroup)
         if kind == "under":
             if name.isupper() or _field(name):
-                return True
+                yield m
         elif kind == "make":
             if not (name.isupper() and "_" not in name) and not (name.isupper() and _MAKE.search(text[max(0, m.start() - 60) : m.end() + 60])):
-                return True
+                yield m
         elif kind == "angle":
             if _field(name) and not name.islower() or "_" in name or name.lower() in _FIELDS and name.lower() not in ("title", "link", "address", "summary", "label", "time"):
-                return True
+                yield m
         elif _field(name):
-            return True
-    return False
+            yield m
+    if _LATER.search(text):
+        yield from _EMPTY_FIELD.finditer(text)
+
+
+def placeholder(text: str) -> bool:
+    """Does the prose hold an unfilled placeholder?
+
+    A mark in a sentence that speaks of marks is an example, and in a text with several such sentences
+    (a tutorial) so are all others, unless they are denser than one in twelve words.
+    """
+    marks, about = 0, 0
+    for m in _marks(text):
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        if _ABOUT.search(text, a, b if b >= 0 else len(text)):
+            about += 1
+        else:
+            marks += 1
+    return marks > 0 and (about < 2 or marks * 12 > len(text.split()))
 
 
 # --- sentences ------------------------------------------------------------------------------------
@@ -101,6 +124,10 @@ _STRONG = re.compile(
     r"|wurde(?:n)? nicht gefunden|nicht (?:verfügbar|erreichbar|gefunden)|zugriff verweigert|keine berechtigung|fehler \d{3}|javascript,? (?:um|aktivieren)|aktivieren sie|wartungsarbeiten"
     r"|n['’]existe (?:plus|pas)|introuvable|a été déplacée?|accès (?:refusé|interdit)|activez|erreur \d{3}|en maintenance|indisponible|page .{0,20}supprimée"
     r"|no (?:pudimos|se pudo|podemos) (?:cargar|encontrar|mostrar)|no se (?:ha )?encontr|no existe|acceso denegado|activar javascript|habilit\w+ javascript|en mantenimiento|no está disponible"
+    r"|^\W*just a moment\b|\berror establishing\b|^\W*attention required\b|\bverify(?:ing)? (?:that )?you are\b|^\W*[45]\d\d\b\W+(?:\w+\W*){1,3}$|^\W*(?:\w+\W+){1,2}[45]\d\d\W*$"
+    r"|pagina (?:non trovata|niet gevonden)|non (?:esiste|è (?:stata trovata|disponibile))|accesso negato|página não (?:encontrada|existe)|acesso negado|não foi (?:possível|encontrad)|niet (?:gevonden|beschikbaar)|nie (?:znaleziono|istnieje)|strona .{0,20}nie "
+    r"|страница не найдена|не (?:найден|существует|удалось)|доступ (?:запрещ|закрыт)|недоступ|見つかりません|存在しません|アクセスが(?:拒否|制限)|メンテナンス中|ご利用いただけません|页面(?:不存在|未找到|已删除)|頁面不存在|找不到(?:页面|頁面|网页)|禁止访问|拒绝访问|维护中|无法(?:访问|显示|加载)"
+    r"|(?:richiede|richiesto|abilita\w*|attiva\w*|requer|habilite|ative|vereist|schakel|wymaga|włącz)\b.{0,40}" + _SCRIPT + r"|" + _SCRIPT + r".{0,40}(?:richiest|necessari|vereist|wymagan|disabilitat|desativad)|(?:включите|требует\w*|необходим\w*).{0,40}java ?script|java ?script.{0,30}(?:включ|отключ|необходим|требует)|javascript.{0,12}(?:有効|無効|必要|启用|啟用|禁用)|(?:启用|啟用|開啟|开启).{0,8}javascript"
     r"|찾을 수 없습니다|존재하지 않습니다|자바스크립트를? ?(?:를 )?(?:켜|활성|사용)|접근이 (?:거부|제한)|오류 ?\(?\d{3}|권한이 없습니다|점검 중",
     re.I,
 )
@@ -147,51 +174,70 @@ def nonsense(words: list[str]) -> bool:
     return n >= 12 and common <= 0.03 * n and distinct <= 0.75 * n and all(w.isascii() for w in words)
 
 
-def page_of(text: str) -> str | None:
-    """'filler' or 'error' if that is all a page has, else None."""
-    plain = _TAGS.sub("\n", _HEAD.sub(" ", text)).replace("\r", "").replace("﻿", "")
-    if "```" in plain:
-        return None
-    strong, other = {"filler": 0, "error": 0}, 0
+def _page(plain: str, titles: bool = True) -> tuple[int, int] | None:
+    """Sentences that are filler and errors, or None where the text has content of its own."""
+    filler = error = 0
     for raw in plain.split("\n"):
         line = raw.strip()
         if not line or line.startswith("#"):
             continue
         if not _BULLET.match(line) and line[0] != "|" and len(line.split()) <= 8 and (" > " in line or " | " in line):
+            if _STRONG.match(line.split(" | ")[0]):
+                error += 1
             continue
         if _NAVIGATION.match(line) and len(line.split()) <= 6:
             continue
         words = [w.lower() for w in _WORD.findall(line)]
         if words and nonsense(words):
-            strong["filler"] += 1
+            filler += 1
             continue
         for s in _SENTENCE.split(line):
             s = s.strip()
             if not s or not re.search(r"\w", s):
                 continue
-            if len(s) > 200 and not _FILLER.search(s[:80]) or '"' in s or "`" in s or s[0] == "|" or _BULLET.match(s):
+            if '"' in s or "`" in s or s[0] == "|" or _BULLET.match(s):
                 return None
-            if _FILLER.search(s):
-                left = _FILLER.sub(" ", s)
-                if len(_WORD.findall(left)) <= 12:
-                    strong["filler"] += 1
-                    continue
-            if _STRONG.search(s) and len(s) <= 160:
-                strong["error"] += 1
+            if (m := _FILLER.search(s)) and len(_WORD.findall(_FILLER.sub(" ", s))) <= 12:
+                filler += 1
+            # what goes on for long after its message is prose about it
+            elif (m := _STRONG.search(s)) and len(s) - len(m.group()) <= 150:
+                error += 1
             elif _ALONG.search(s):
                 pass
-            elif len(s.split()) <= 3 and s[-1] not in ".!?。" and s == line:
+            elif titles and len(s.split()) <= 3 and s[-1] not in ".!?。" and s == line:
                 pass  # a title
             else:
                 return None
-    if strong["error"]:
-        return "error"
-    return "filler" if strong["filler"] else None
+    return filler, error
+
+
+def page_of(text: str) -> str | None:
+    """'filler' or 'error' if that is all a page has, else None.  A code block is content, unless what
+    stands in it is an error message too."""
+    plain = _TAGS.sub("\n", _HEAD.sub(" ", text)).replace("\r", "").replace("﻿", "")
+    strong = [0, 0]
+    if "```" in plain or "~~~" in plain:
+        for m in _FENCE.finditer(plain):
+            inner = _page("\n".join(m.group().split("\n")[1:]).replace(m.group(1), ""), False)
+            if inner is None or not any(inner):
+                return None
+            strong = [a + b for a, b in zip(strong, inner, strict=True)]
+        plain = _FENCE.sub("\n", plain)
+    got = _page(plain)
+    if got is None:
+        return None
+    filler, error = (a + b for a, b in zip(strong, got, strict=True))
+    return "error" if error else "filler" if filler else None
 
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]|<\\|[a-z_]+\\|>|</?s>")
 #: Letters of other scripts that look like Latin ones (fixed values).
 _ALIKE = str.maketrans("аеорсухіАЕОРСХВНКМТ", "aeopcyxiAEOPCXBHKMT")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_LATIN = re.compile("[A-Za-z]")
+_LIKE = re.compile("[аеорсухіАЕОРСХВНКМТ]")
+_OTHER_SCRIPT = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПУФЦЧШЩЪЫЬЭЮЯ]")
+_MIXED = re.compile(r"\w*(?:[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z])\w*")
 _WRONG = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u2122]")
 
 
@@ -206,13 +252,14 @@ def readable(text: str) -> str:
                 break
             except UnicodeError:
                 pass
-    if re.search("[A-Za-z]", text):
-        text = text.translate(_ALIKE)
+    if _LIKE.search(text) and _LATIN.search(text):
+        # where other letters of the script stand too, only words that mix both are meant
+        text = _MIXED.sub(lambda m: m.group().translate(_ALIKE), text) if _OTHER_SCRIPT.search(text) else text.translate(_ALIKE)
     return text
 
 
 def _unaccented(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def residue(text: str | None) -> str | None:
@@ -223,7 +270,7 @@ def residue(text: str | None) -> str | None:
     if placeholder(prose(text)):
         return "placeholder"
     got = page_of(text)
-    if got is None and not text.isascii() and len(text) <= 2000:
+    if got is None and not text.isascii():
         got = page_of(_unaccented(text))
     return got
 

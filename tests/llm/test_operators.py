@@ -399,3 +399,28 @@ def test_index_alone_finds_edited_vendored_copies(spark):
     df = spark.createDataFrame(rows, "file_id bigint, repo string, content string")
     got = {x.file_id for x in handwritten.copies(df).collect()}
     assert len(got & made) >= 0.9 * len(made) and not got - made
+
+
+@pytest.mark.parametrize(
+    ("text", "why"),
+    [
+        ("Just a moment...", "error"),
+        ("Error establishing a database connection", "error"),
+        ("Attention Required! | Cloudflare", "error"),
+        ("403 - Verboten", "error"),
+        ("Questo sito richiede JavaScript.", "error"),
+        ("Для просмотра включите JavaScript", "error"),
+        ("ページが見つかりません", "error"),
+        ("```\n404 Not Found\n```", "error"),
+        ("La page n'existe plus. " * 200, "error"),
+        ("# Report\n\nName: TBD\n\nThe rest is as planned.", "placeholder"),
+        ("Contact: ________", "placeholder"),
+        ("Dear {{ name }}, your order left us.", "placeholder"),
+        ("In Jinja the syntax {{ name }} prints a variable.", None),
+        ("The syntax {{ a }} prints a.\nThe syntax {{ b }} and its braces print b.\nSo this {{ user_name }} greets the one who reads the page after all the other lines were rendered by it once.", None),
+        ("A server answers 404 where a page is missing, and the cache keeps that answer for a minute before it asks once more.", None),
+        ("```\nreturn 404\nx := load()\n```\nPage not found.", None),
+    ],
+)
+def test_residue_by_shape(text, why):
+    assert residue.residue(text) == why
