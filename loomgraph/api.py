@@ -19,10 +19,13 @@ class Graph:
         self.spark, self.path = spark, path
         self.nodes, self.edges, self.pkg_tree, self.topic_tree, self.blobs, self.postings = (store.load(spark, path, t) for t in ("nodes", "edges", "pkg_tree", "topic_tree", "blobs", "postings"))
 
-    def manifest(self, current_commit: str | None = None) -> dict:
-        with open(f"{self.path}/manifest.json", encoding="utf-8") as f:
-            m = json.load(f)
-        stale = m.get("staleness_method") == "git" and current_commit is not None and m.get("src_commit") != current_commit
+    def manifest(self, current_commit: str | None = None, current_mtime_sum: int | None = None) -> dict:
+        """The manifest, and whether the sources changed since: another commit, or another sum of
+        modification times where that is the graph's method; unknown present values say nothing."""
+        m = json.loads(store.get_text(self.spark, f"{self.path}/manifest.json"))
+        by_git = m.get("staleness_method") == "git" and current_commit is not None and m.get("src_commit") != current_commit
+        by_time = m.get("staleness_method") == "mtime" and current_mtime_sum is not None and m.get("staleness_mtime_sum") != current_mtime_sum
+        stale = by_git or by_time
         return m | {"current_commit": current_commit, "graph_stale": stale}
 
     def hierarchy(self, kind: str = "pkg") -> DataFrame:

@@ -3,6 +3,7 @@
 python -m loomgraph.cli build --src DIR --out DIR [--lang go,ts,sol]
 python -m loomgraph.cli export --graph DIR --out DIR
 python -m loomgraph.cli query --graph DIR find-symbol|callers|callees|subgraph|search|context TEXT [--depth N]
+python -m loomgraph.cli eval --tasks 'DIR/*.yaml' --answers FILE.jsonl --out DIR [--baselines alpha,delta]
 python -m loomgraph.cli report --results FILE.csv
 """
 
@@ -12,6 +13,7 @@ import argparse
 import json
 import sys
 
+from loomgraph.evaluate import BASELINES
 from loomgraph.session import local_session
 
 
@@ -30,6 +32,11 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("what", choices=["find-symbol", "callers", "callees", "subgraph", "search", "context"])
     q.add_argument("text")
     q.add_argument("--depth", type=int, default=1)
+    e = sub.add_parser("eval")
+    e.add_argument("--tasks", required=True)
+    e.add_argument("--answers", required=True)
+    e.add_argument("--out", required=True)
+    e.add_argument("--baselines", default=",".join(BASELINES))
     r = sub.add_parser("report")
     r.add_argument("--results", required=True)
     a = p.parse_args(argv)
@@ -39,6 +46,16 @@ def main(argv: list[str] | None = None) -> int:
 
         print(json.dumps(build(spark, a.src, a.out, None if a.lang == "auto" else a.lang.split(",")), indent=2))
         return 0
+    if a.command == "eval":
+        from loomgraph.evaluate import load_tasks, report, run, write_csv
+
+        # answers come from a file of JSON lines: task_id, baseline, output and token counts
+        with open(a.answers, encoding="utf-8") as f:
+            known = {(x["task_id"], x["baseline"]): x for x in map(json.loads, filter(str.strip, f))}
+        got = run(spark, load_tasks(a.tasks), lambda t, b: known[t.id, b], a.baselines.split(","))
+        write_csv(got, a.out)
+        print(report(got))
+        return 0
     if a.command == "report":
         from loomgraph.evaluate import RESULT_DDL, report
 

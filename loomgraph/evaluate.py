@@ -102,6 +102,15 @@ def summary(results: DataFrame) -> DataFrame:
     return per.withColumn("ord", rank).orderBy("ord", "baseline").drop("ord")
 
 
+def hypotheses(results: DataFrame) -> DataFrame:
+    """One row, where alpha used tokens and delta ran: h1_saving, the percentage of input tokens that
+    delta saves against alpha, and h2_difference, delta's mean score less alpha's, as numbers and text."""
+    mean = lambda b, c: F.avg(F.when(F.col("baseline") == b, F.col(c)))
+    per = results.agg(*[mean(b, c).alias(f"{b}_{k}") for b in ("alpha", "delta") for c, k in (("input_tokens", "t"), ("score", "s"))])
+    kept = per.where("alpha_t > 0 and delta_t is not null").select((F.lit(100.0) * (1 - F.col("delta_t") / F.col("alpha_t"))).alias("h1_saving"), (F.col("delta_s") - F.col("alpha_s")).alias("h2_difference"))
+    return kept.select("h1_saving", "h2_difference", F.format_string("%.1f%%", "h1_saving").alias("h1_text"), F.format_string("%+.3f", "h2_difference").alias("h2_text"))
+
+
 def report(results: DataFrame) -> str:
     """Markdown: a line per baseline, then the two hypotheses where alpha used tokens and delta ran."""
     rows = summary(results).collect()
@@ -115,9 +124,12 @@ def report(results: DataFrame) -> str:
 
 
 def write_csv(results: DataFrame, out: str) -> None:
-    """Nine columns with a header, score with four decimals."""
-    cols = [F.format_string("%.4f", "score").alias("score") if c.split()[0] == "score" else c.split()[0] for c in RESULT_DDL.split(", ")]
-    results.select(*cols).coalesce(1).write.mode("overwrite").csv(out, header=True)
+    """Nine columns with a header, score with four decimals; results are tasks times baselines, one file."""
+    csv_rows(results).coalesce(1).write.mode("overwrite").csv(out, header=True)
+
+
+def csv_rows(results: DataFrame) -> DataFrame:
+    return results.select(*[F.format_string("%.4f", "score").alias("score") if c.split()[0] == "score" else c.split()[0] for c in RESULT_DDL.split(", ")])
 
 
 def run(spark: SparkSession, tasks: Iterable[Task], answer: Callable[[Task, str], dict], baselines: Iterable[str] = BASELINES, stale: bool = False) -> DataFrame:

@@ -71,7 +71,7 @@ def radius_2d(usage: str | Column) -> Column:
     return F.greatest(F.lit(2.0), F.lit(3.0) + F.lit(1.5) * F.log10(c(usage) + F.lit(1.0)))
 
 
-# Drawing alpha by confidence, colour by language, opacity by distance from the focus.
+# Drawing alpha by confidence, opacity by distance from the focus.
 ALPHA = {"EXTRACTED": 1.0, "INFERRED": 0.7, "AMBIGUOUS": 0.4}
 FOCUS_OPACITY = [1.0, 0.92, 0.55, 0.18]
 

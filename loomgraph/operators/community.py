@@ -7,6 +7,7 @@ resolutions run side by side as a key of the same joins, so no task holds a whol
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -77,12 +78,15 @@ def _move(scratch: Scratch, both: DataFrame, degree: DataFrame, two_m: float, ma
         quiet = 0 if changed else quiet + 1
         if quiet > 3:
             break
+    else:
+        warnings.warn(f"nodes still want to move after {max_rounds} rounds", stacklevel=2)
     return state.select("g", "id", "comm"), moved
 
 
-def communities(nodes: DataFrame, edges: DataFrame, gammas: Sequence[float] = GAMMAS, types: Sequence[str] | None = COMMUNITY_TYPES, max_levels: int = 6, max_rounds: int = 12) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, gammas: Sequence[float] = GAMMAS, types: Sequence[str] | None = COMMUNITY_TYPES, max_levels: int = 50, max_rounds: int = 50) -> DataFrame:
     """resolution (index of gamma), node_id, community (smallest member's id): every node once per
-    resolution, isolated ones alone."""
+    resolution, isolated ones alone.  Levels and rounds go on until nothing wants to move; where one of
+    the limits is hit before, a warning says so."""
     spark = nodes.sparkSession
     scratch = Scratch(spark, "communities")
     ids = nodes.select("id").distinct()
@@ -98,7 +102,10 @@ def communities(nodes: DataFrame, edges: DataFrame, gammas: Sequence[float] = GA
     degree = scratch.save(ends.groupBy("g", "id").agg(F.sum("w").alias("k")))
     member = degree.select("g", "id", F.col("id").alias("comm"))
     pairs = base
-    for _ in range(max_levels):
+    for level in range(max_levels + 1):
+        if level == max_levels:
+            warnings.warn(f"communities still change after {max_levels} levels", stacklevel=2)
+            break
         both = pairs.where("a <> b").select("g", "a", "b", "w")
         both = scratch.save(both.union(both.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         got, moved = _move(scratch, both, degree, two_m, max_rounds)
@@ -116,6 +123,27 @@ def communities(nodes: DataFrame, edges: DataFrame, gammas: Sequence[float] = GA
     return every.join(named, ["resolution", "node_id"], "left").select("resolution", "node_id", F.coalesce("community", "node_id").alias("community"))
 
 
+def modularity(pairs: DataFrame, member: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """One row, ``modularity`` of a partition (id, comm): the share of weight within communities less
+    ``gamma`` times what their degrees would give by chance; null without edges."""
+    ca, cb = member.select(F.col("id").alias("a"), F.col("comm").alias("ca")), member.select(F.col("id").alias("b"), F.col("comm").alias("cb"))
+    linked = pairs.join(ca, "a").join(cb, "b").select("a", "b", "w", "ca", "cb")
+    # weight within, and degrees, per community; one row per community goes on
+    inner = F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(F.lit(0))
+    ends = linked.select(F.explode(F.array(F.struct(F.col("ca").alias("comm"), inner.alias("i"), "w"), F.struct(F.col("cb").alias("comm"), F.lit(0).cast("bigint").alias("i"), "w"))).alias("x"))
+    per = ends.groupBy("x.comm").agg(F.sum("x.i").alias("i"), F.sum("x.w").alias("k"))
+    total = F.sum("k")
+    return per.agg((F.lit(2.0) * F.sum("i") / total - F.lit(gamma) * F.sum(F.col("k").cast("double") * F.col("k")) / (total * total)).alias("modularity"))
+
+
+def dense_labels(member: DataFrame, order: str = "id") -> DataFrame:
+    """comm, label: communities numbered from 0 by the first of their members in ``order``."""
+    from loomgraph.sources.store import numbered
+
+    first = member.groupBy("comm").agg(F.min(order).alias("_first"))
+    return numbered(first, ["_first", "comm"], "label").select("comm", "label")
+
+
 def dominant_package(members: DataFrame) -> DataFrame:
     """comm, package, n: the commonest part before the last dot of the members' qualified names,
     ties to the smallest; communities without dotted names don't appear."""

@@ -80,6 +80,11 @@ def children_of(nodes: DataFrame, pkg_tree: DataFrame, parent: str, limit: int =
     return nodes_by_ids(nodes, kids).orderBy("id").limit(clamp(limit))
 
 
+def parents_of(tree: DataFrame, child: str) -> DataFrame:
+    """Rows of a tree whose child is ``child``: its parents and level."""
+    return tree.where(F.col("child_id") == child)
+
+
 def hierarchy(kind: str, tree: DataFrame) -> DataFrame:
     """Rows of either tree in one shape; any other kind is an error."""
     if kind == "pkg":

@@ -6,7 +6,7 @@ The order-dependent picks (first or last definition wins) are minima and maxima
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import before_hash, simple_name
@@ -54,6 +54,14 @@ def resolve_sol(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     return _edges(j, "dst", F.when(F.col("src_file").eqNullSafe(F.col("dst_file")), "EXTRACTED").otherwise("INFERRED"))
 
 
+def abi(nodes: DataFrame) -> DataFrame:
+    """id, contract, function: every function of a Solidity file belongs to the last contract that begins
+    before it; functions before any contract have none.  One window per file."""
+    w = Window.partitionBy("file_path").orderBy("start_byte", "id").rowsBetween(Window.unboundedPreceding, 0)
+    own = nodes.where("language = 'sol' and type in ('Contract', 'Function')").withColumn("contract", F.last(F.when(F.col("type") == "Contract", F.col("name")), ignorenulls=True).over(w))
+    return own.where("type = 'Function' and contract is not null").select("id", "contract", F.col("name").alias("function"))
+
+
 def link_contracts(nodes: DataFrame) -> DataFrame:
     """binds_to edges from each contract to the class of its name whose path hints most at generated
     bindings, ties to the smallest id."""

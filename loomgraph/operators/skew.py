@@ -16,11 +16,22 @@ from pyspark.sql import functions as F
 from loomgraph.session import Scratch
 
 
+#: Bytes of rows that one range should hold, by the optimizer's estimate of the input.
+RANGE_BYTES = 128 << 20
+
+
+def ranges_for(df: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """Number of ranges: by the estimated size of ``df``, and at least as many as the session's shuffles have
+    partitions, so that small inputs use all cores and large ones keep ranges small."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an operator whose size nobody knows counts as endless; then the session's number holds
+    return least if size >= 1 << 60 else max(least, -(-size // range_bytes))
+
+
 def by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df`` split by sampled quantiles of (keys, order).  ``parts`` defaults to the session's
-    ``spark.sql.shuffle.partitions``."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys, *order)
+    """``df`` split by sampled quantiles of (keys, order) into ``parts`` ranges, by default ``ranges_for`` it."""
+    return df.repartitionByRange(parts or ranges_for(df), *keys, *order)
 
 
 def aggregate_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggs: Sequence[Column], parts: int | None = None) -> DataFrame:

@@ -29,6 +29,8 @@ class Query:
 
     mode: str
     terms: tuple[tuple[str, bool], ...] = field(default=())
+    #: Columns that all words must stand in; empty means any.
+    cols: tuple[str, ...] = field(default=())
 
 
 def _words(s: str) -> list[str]:
@@ -39,13 +41,19 @@ def rewrite(text: str) -> Query:
     """How a search box's text is read.
 
     Anything outside ASCII goes to substring search.  Quotes, stars, brackets or colons mean the text
-    is a query as it stands: a quoted phrase, or all of its words, starred ones as prefixes.  One word
+    is a query as it stands: a quoted phrase, or all of its words, starred ones as prefixes; ``name: word`` or
+    ``{name signature}: word`` keeps to these columns.  One word
     of two letters or more is a prefix; of several, those shorter than three are dropped, those of
     four or more are prefixes, and any may match.  If none is left the words stay as they are.
     Punctuation only separates words.
     """
     if not text.isascii():
         return Query("substring", ((text, False),))
+    if m := re.fullmatch(r"\s*\{?\s*((?:" + "|".join(NODE_FIELDS) + r")(?:\s+(?:" + "|".join(NODE_FIELDS) + r"))*)\s*\}?\s*:(?!:)\s*(.+)", text):
+        rest = rewrite(m.group(2))
+        # what follows a filter is a query as it stands, so a lone word isn't widened to a prefix
+        terms = rest.terms if "*" in m.group(2) else tuple((w, False) for w, _ in rest.terms)
+        return Query("phrase" if rest.mode == "phrase" else "all", terms, tuple(m.group(1).split()))
     if m := re.fullmatch(r'\s*"([^"]*)"\s*', text):
         return Query("phrase", tuple((w, False) for w in _words(m.group(1))))
     if re.search(r'[*"():]', text):
@@ -73,6 +81,8 @@ def _hits(index: DataFrame, terms: Sequence[tuple[str, bool]]) -> DataFrame:
 
 def match(index: DataFrame, query: Query) -> DataFrame:
     """Distinct ids that match."""
+    if query.cols:
+        index = index.where(F.col("col").isin(*query.cols))
     if query.mode == "any":
         return _hits(index, query.terms).select("id").distinct()
     if query.mode == "all":

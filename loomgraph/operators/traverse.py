@@ -57,7 +57,9 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, qname: str, depth: int, rev
 
 def subgraph(nodes: DataFrame, edges: DataFrame, qname: str, depth: int, distinct_edges: bool = False) -> Neighborhood:
     """Forward and backward neighbourhood together; edges as a bag unless ``distinct_edges``."""
-    a, b = neighborhood(nodes, edges, qname, depth), neighborhood(nodes, edges, qname, depth, True)
+    # the seeds are found once for both directions
+    seeds = Scratch(nodes.sparkSession, "seeds").save(lookup.find_symbol(nodes, qname, limit=SEED_LIMIT).select("id"))
+    a, b = bfs(edges, seeds, depth), bfs(edges, seeds, depth, True)
     ids = a.ids.union(b.ids).groupBy("id").agg(F.min("depth").alias("depth"))
     both = a.edges.unionByName(b.edges)
     return Neighborhood(ids, both.dropDuplicates(["id"]) if distinct_edges else both)
@@ -73,6 +75,11 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
     return bfs(undirected(edges), seeds, max_depth).ids
 
 
+def visible_with_hits(visible: DataFrame, hits: DataFrame) -> DataFrame:
+    """Ids shown after a search: what was visible, and what was found."""
+    return visible.select("id").union(hits.select("id")).distinct()
+
+
 def visible_set(nodes: DataFrame, edges: DataFrame, anchor: str | None, depth: int, limit: int = VISIBLE_LIMIT) -> DataFrame:
     """What a viewer shows around an anchor: the ``limit`` nearest nodes, ties by id; without anchor
     the packages."""

@@ -376,15 +376,15 @@ def ts(path: str, src: str) -> _File:
     f = _File(path, src, "ts", lex.EXTENSIONS[ext][1](src))
     file_id = f.node("File", path.rsplit("/", 1)[-1], f"file:{path}", None, None)
     n = len(f.k)
-    scopes: list[tuple[int, str]] = []  # end token and name of open classes
-    bodies: set[int] = set()
+    scopes: list[tuple[int, int, str]] = []  # body's first and last token and name of open classes
+    inner = _innermost(f)
 
     def name_of(j):
         return j if f.kind(j) == "IDENT" or f.kind(j) in lex.TS_CONTEXT else None
 
     for i in range(n):
         k = f.k[i]
-        while scopes and i > scopes[-1][0]:
+        while scopes and i > scopes[-1][1]:
             scopes.pop()
         before = f.kind(i - 1)
         if k in _TS_WORDS and before not in (".", "?."):
@@ -396,8 +396,7 @@ def ts(path: str, src: str) -> _File:
                 while x < n and f.k[x] != "{":
                     x = f.close[x] + 1 if x in f.close else x + 1
                 if x in f.close:
-                    scopes.append((f.close[x], f.text(j)))
-                    bodies.add(x)
+                    scopes.append((x, f.close[x], f.text(j)))
             declares = before in ("", ";", "}", "{", "export", "default", "declare", "abstract", "const", "async", ")", "]", "STR", "IDENT") or f.line(f.b[i]) != f.line(f.b[i - 1])
             if not declares or not script and k in ("class", "interface", "enum", "type"):
                 continue
@@ -418,25 +417,29 @@ def ts(path: str, src: str) -> _File:
                 while j > 0 and f.k[j] != "<":
                     j -= 1
                 j -= 1
-            inside = any(o in bodies and f.close[o] == scopes[-1][0] and o < j < f.close[o] and _level(f, o, j) for o in bodies)
+            inside = j >= 0 and inner[j] == scopes[-1][0]
             if not inside or name_of(j) is None and f.kind(j) not in lex.JS_RESERVED or f.kind(j) in ("if", "for", "while", "switch", "catch"):
                 continue
             x = f.close[i] + 1
             if f.kind(x) == ":":
                 x += 1
-                while x < n and f.k[x] not in ("{", ";", "}") and x - f.close[i] < 200:
+                while x < n and f.k[x] not in ("{", ";", "}"):
                     x = f.close[x] + 1 if x in f.close and f.k[x] != "{" else x + 1
             if f.kind(x) == "{":
-                f.edge(file_id, f.node("Method", f.text(j), f"{scopes[-1][1]}.{f.text(j)}", f.b[j], f.e[j]), "defines")
+                f.edge(file_id, f.node("Method", f.text(j), f"{scopes[-1][2]}.{f.text(j)}", f.b[j], f.e[j]), "defines")
     return f
 
 
-def _level(f: _File, opened: int, j: int) -> bool:
-    """Does token ``j`` stand directly within the bracket that token ``opened`` opens?"""
-    x = opened + 1
-    while x < j:
-        x = f.close[x] + 1 if x in f.close else x + 1
-    return x == j
+def _innermost(f: _File) -> list[int]:
+    """Per token the bracket that stands open around it, -1 for none; unmatched brackets don't count."""
+    out, stack = [], [-1]
+    for i in range(len(f.k)):
+        if i in f.open:
+            stack.pop()
+        out.append(stack[-1])
+        if i in f.close:
+            stack.append(i)
+    return out
 
 
 # --- Solidity -------------------------------------------------------------------------------------
@@ -459,8 +462,12 @@ def sol(path: str, src: str) -> _File:
         if f.k[j - 1] == "contract":
             declare("Contract", j, f.text(j))
 
+    starts = [a for a, _, _ in spans]
+
     def within(i):
-        return next((nm for a, b, nm in spans if a < i < b), None)
+        # contracts don't nest: the last that opens before
+        at = bisect_right(starts, i) - 1
+        return spans[at][2] if at >= 0 and spans[at][0] < i < spans[at][1] else None
 
     functions: list[tuple[int, int, int, str]] = []
     for i in range(n):
@@ -525,23 +532,31 @@ def sol(path: str, src: str) -> _File:
     return f
 
 
-def abi(nodes: list[dict]) -> list[tuple[str, str]]:
-    """(contract, function) in order of the rows: functions belong to the last contract before them."""
-    out, current = [], ""
-    for x in nodes:
-        if x["type"] == "Contract":
-            current = x["name"]
-        elif x["type"] == "Function" and current:
-            out.append((current, x["name"]))
-    return out
+class Registry:
+    """Extension -> (language, parser).  An extension has one parser."""
+
+    def __init__(self):
+        self._by_ext: dict[str, tuple[str, object]] = {}
 
+    def register(self, ext: str, language: str, parser) -> None:
+        ext = ext.lower()
+        if ext in self._by_ext:
+            raise ValueError(f"{ext} already has a parser")
+        self._by_ext[ext] = (language, parser)
 
-#: language -> parser; the registry of extensions is ``lex.EXTENSIONS``.
-PARSERS = {"go": go, "ts": ts, "js": ts, "sol": sol}
+    def of(self, path: str | None) -> tuple[str, object] | None:
+        """Language and parser of a path, None if its extension has none."""
+        m = re.search(r"\.[^./\\]+$", path or "")
+        return self._by_ext.get(m.group().lower()) if m else None
+
+
+PARSERS = Registry()
+for _ext, (_language, _) in lex.EXTENSIONS.items():
+    PARSERS.register(_ext, "ts" if _language == "js" else _language, {"go": go, "sol": sol}.get(_language, ts))
 
 
 def parse_file(path: str, content: str) -> _File:
-    ext = lex.extension(path)
-    if ext is None:
+    got = PARSERS.of(path)
+    if got is None:
         raise ValueError(f"no parser for {path}")
-    return PARSERS[lex.EXTENSIONS[ext][0]](path, content)
+    return got[1](path, content)

@@ -104,11 +104,19 @@ def commit_of(root: str) -> str | None:
         return None
 
 
+def from_source(spark: SparkSession, root: str, languages: Sequence[str] | None = None) -> PropertyGraph:
+    """The resolved, validated graph of a source tree in memory, without scores, communities or a store."""
+    files = tree.source_files(tree.read_tree(spark, root), (), languages)
+    graph, _ = resolve_parsed(Scratch(spark, "source").save(parse_files(files)))
+    graph.validate()
+    return graph
+
+
 def build(spark: SparkSession, root: str, out: str, languages: Sequence[str] | None = None) -> dict:
     """Scan, parse, resolve, link, validate, cluster, score and persist; returns the manifest."""
     scratch = Scratch(spark, "build")
     ignore_file = os.path.join(root, ".ckgignore")  # fixed value: name of the ignore file
-    patterns = tree.parse_ignore(open(ignore_file, encoding="utf-8").read()) if os.path.exists(ignore_file) else []
+    patterns = tree.parse_ignore(store.get_text(spark, ignore_file)) if store.exists(spark, ignore_file) else []
     files = tree.source_files(tree.read_tree(spark, root), patterns, languages)
     parsed = scratch.save(parse_files(files))
     graph, left = resolve_parsed(parsed)
@@ -117,18 +125,19 @@ def build(spark: SparkSession, root: str, out: str, languages: Sequence[str] | N
     nodes = scratch.save(scored(graph))
     edges = scratch.save(store.number_edges(graph.edges.select(*EDGE_COLS)))
     topics = topic_tree(nodes, edges)
+    pkg = scratch.save(packages.package_tree(nodes))
     blobs = tree.blobs(nodes, files.select("file_path", "content"))
     stats = parsed.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).collect()
     commit = commit_of(root)
     # fixed values: the manifest's keys
     manifest = {
         "schema_version": "1.0", "ckg_version": VERSION, "build_timestamp": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "src_root": root, "staleness_method": "git" if commit else "mtime",
-        "languages": {r.language: r.n for r in stats}, "stats": {"nodes": nodes.count(), "edges": edges.count()}, "parse_errors_count": sum(r.bad for r in stats), "unresolved_refs_count": left.count(), "clustering_status": "ok", "ckgignore": patterns,
+        "languages": {r.language: r.n for r in stats}, "stats": {"nodes": nodes.count(), "edges": edges.count(), "pkg_edges": pkg.count(), "parse_errors": sum(r.bad for r in stats)}, "parse_errors_count": sum(r.bad for r in stats), "unresolved_refs_count": left.count(), "clustering_status": "ok", "ckgignore": patterns,
     }
     if commit:
         manifest["src_commit"] = commit
     else:
         mark = tree.fingerprint(files).first()
         manifest |= {"staleness_files": mark.files or [], "staleness_mtime_sum": mark.mtime_sum or 0}
-    store.save(out, {"nodes": nodes, "edges": edges, "pkg_tree": packages.package_tree(nodes), "topic_tree": topics, "blobs": blobs, "postings": text.postings(nodes, "id", text.NODE_FIELDS)}, manifest)
+    store.save(out, {"nodes": nodes, "edges": edges, "pkg_tree": pkg, "topic_tree": topics, "blobs": blobs, "postings": text.postings(nodes, "id", text.NODE_FIELDS)}, manifest)
     return manifest

@@ -154,12 +154,6 @@ def edges_for_nodes(spark, d):
     return lookup.incident(g.edges, _ids(g)).select(*EDGE_COLS)
 
 
-@query(f"{NE}, {_IDS} SELECT e.* FROM e WHERE src IN (SELECT id FROM ids) AND type IN ('calls', 'defines')")
-def edges_from_nodes(spark, d):
-    g = _g(spark, d)
-    return lookup.edges_from(g.edges, _ids(g), ["calls", "defines"]).select(*EDGE_COLS)
-
-
 @query(f"{NE}, {_IDS} SELECT e.* FROM e WHERE dst IN (SELECT id FROM ids)")
 def edges_to_nodes(spark, d):
     g = _g(spark, d)
@@ -408,12 +402,6 @@ def search_ranked(spark, d):
     return text.search(g.nodes, _index(g), _TASK, 30).select("id", "rank")
 
 
-@query(f"WITH {N} SELECT id, 1 AS found FROM n WHERE contains(name, '오류') OR contains(qualified_name, '오류') ORDER BY id LIMIT 20")
-def search_route_cjk(spark, d):
-    g = _g(spark, d)
-    return text.search(g.nodes, _index(g), "오류").select("id", F.lit(1).alias("found"))
-
-
 @query(f"WITH {N} SELECT id, CAST((octet_length(encode(coalesce(doc_comment, ''))) + 3) // 4 AS BIGINT) AS tokens FROM n")
 def token_estimate(spark, d):
     return _g(spark, d).nodes.select("id", X.estimate_tokens("doc_comment").alias("tokens"))
@@ -518,14 +506,6 @@ def callsite_lift(spark, d):
     return resolve.lift_callsites(_pending(g, "calls", "simple"), g.nodes.withColumn("ord", F.col("start_byte")))
 
 
-@query(
-    f"""WITH {N}, ct AS (SELECT id, name FROM n WHERE type = 'Contract' AND language = 'sol'), cl AS (SELECT name, arg_min(id, (-(contains(lower(file_path), 'typechain')::INT + contains(lower(file_path), 'contracts')::INT + contains(lower(file_path), 'abi')::INT), id)) AS dst FROM n WHERE type = 'Class' AND language = 'ts' GROUP BY 1)
-SELECT ct.id AS src, dst, 'binds_to' AS type, 1 AS count, 'INFERRED' AS confidence FROM ct JOIN cl USING (name)"""
-)
-def xlang_link(spark, d):
-    return resolve.link_contracts(_g(spark, d).nodes)
-
-
 # --- communities ---------------------------------------------------------------------------------
 
 _CP = f"cp AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS w FROM e WHERE type IN {_in(COMMUNITY_TYPES)} AND src <> dst GROUP BY 1, 2)"
@@ -588,11 +568,6 @@ def common_prefix(spark, d):
     return community.name_prefix(_members(_g(spark, d)))
 
 
-@query()
-def community_labels(spark, d):
-    return community.labels(_members(_g(spark, d)))
-
-
 @query()
 def communities(spark, d):
     g = _g(spark, d)
@@ -607,7 +582,7 @@ def classify_extension(spark, d):
     return tree.source_files(table(spark, d, "source_files", "file_path").distinct()).select("file_path", "language")
 
 
-@query("SELECT file_path, row_number() OVER (ORDER BY string_split(file_path, '/')) AS ord FROM (SELECT DISTINCT file_path FROM source_files) ORDER BY ord LIMIT 100")
+@query("SELECT file_path, row_number() OVER (ORDER BY string_split(file_path, '/')) AS ord FROM (SELECT DISTINCT file_path FROM source_files)")
 def walk_order(spark, d):
     files = table(spark, d, "source_files", "file_path").distinct().withColumn("parts", tree.walk_order())
     return store.chunks(files, "parts", 1).select("file_path", (F.col("chunk") + 1).alias("ord"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import lookup
 from loomgraph.schema import BLOBS_DDL, EDGES_DDL, MANIFEST_KEYS, NODES_DDL, PKG_TREE_DDL, TOPIC_TREE_DDL
+from loomgraph.session import Scratch
 
 TABLES = {"nodes": NODES_DDL, "edges": EDGES_DDL, "pkg_tree": PKG_TREE_DDL, "topic_tree": TOPIC_TREE_DDL, "blobs": BLOBS_DDL, "postings": "token STRING, id STRING, col STRING, pos INT"}
 #: Manifest keys whose values are JSON or numbers, with their types; all others are text.
@@ -25,73 +27,102 @@ def save(out: str, tables: Mapping[str, DataFrame], manifest: Mapping[str, objec
             df = df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
         df.write.mode("overwrite").parquet(f"{out}/{name}")
     if manifest is not None:
-        os.makedirs(out, exist_ok=True)
-        with open(f"{out}/manifest.json", "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=2, ensure_ascii=False)
+        spark = next(iter(tables.values())).sparkSession
+        put_text(spark, f"{out}/manifest.json", json.dumps(manifest, indent=2, ensure_ascii=False))
 
 
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
 
 
-def number_edges(edges: DataFrame) -> DataFrame:
-    """Surrogate ids from 1 in the order of (src, dst, type, line): range-partitioned sort, then the
-    rows of earlier partitions added; no task sees all edges."""
-    ordered = edges.drop("id").orderBy("src", "dst", "type", "line").withColumn("_at", F.monotonically_increasing_id()).persist()
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``, each row's number from 0 in ``order``: a range-partitioned sort, written once,
+    then the rows of earlier partitions added; no task sees all rows.  Rows tied in ``order`` are told
+    apart arbitrarily, but once for all."""
+    ordered = Scratch(df.sparkSession, "numbers").save(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     before, total = [], 0
-    for p, n in sorted(ordered.groupBy(part.alias("p")).count().collect()):
+    for p, n in sorted(ordered.groupBy(part.alias("p")).count().collect()):  # one row per partition
         before.append((p, total))
         total += n
-    first = edges.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
-    return ordered.withColumn("_part", part.cast("bigint")).join(F.broadcast(first), "_part").withColumn("id", F.col("_before") + row + 1).select(*edges.columns)
+    first = df.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    return ordered.withColumn("_part", part.cast("bigint")).join(F.broadcast(first), "_part").withColumn(name, F.col("_before") + row).drop("_at", "_part", "_before")
+
+
+def number_edges(edges: DataFrame) -> DataFrame:
+    """Surrogate ids from 1 in the order of (src, dst, type, line) and the other columns."""
+    rest = [c for c in edges.columns if c not in ("id", "src", "dst", "type", "line")]
+    return numbered(edges.drop("id"), ["src", "dst", "type", "line", *rest], "_n").withColumn("id", F.col("_n") + 1).select(*edges.columns)
 
 
 def chunks(df: DataFrame, key: str, size: int) -> DataFrame:
     """Rows with ``chunk``, the number of their file when each holds ``size`` rows in the order of
     ``key`` (distinct values)."""
-    ordered = df.orderBy(key).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, total = [], 0
-    for p, n in sorted(ordered.groupBy(part.alias("p")).count().collect()):
-        before.append((p, total))
-        total += n
-    first = df.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
-    pos = F.col("_before") + row
-    return ordered.withColumn("_part", part.cast("bigint")).join(F.broadcast(first), "_part").withColumn("chunk", F.floor(pos / size).cast("int")).drop("_at", "_part", "_before")
+    return numbered(df, [key], "_n").withColumn("chunk", F.floor(F.col("_n") / size).cast("int")).drop("_n")
 
 
-def export(out: str, nodes: DataFrame, edges: DataFrame, pkg: DataFrame, topic: DataFrame, blobs: DataFrame, manifest: Mapping[str, object]) -> None:
-    """A folder a static viewer can read: manifest, both hierarchies, nodes and edges in numbered JSON
-    chunks, one text file per blob.  Chunks are written by the tasks that hold them."""
-    for d in ("hierarchy", "nodes", "edges", "blobs"):
-        os.makedirs(f"{out}/{d}", exist_ok=True)
-    with open(f"{out}/manifest.json", "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, ensure_ascii=False)
-
-    def write(kind, df, key, size, name=None):
-        body = F.to_json(F.struct(*df.columns))
-        per = chunks(df, key, size).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), body.alias("j")))).alias("rows"))  # at most ``size`` rows
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, on whatever file system the path names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-        def put(rows):
-            for r in rows:
-                target = f"{out}/{kind}/{name or 'chunk_%04d.json' % r.chunk}"
-                with open(target, "w", encoding="utf-8") as f:
-                    f.write("[" + ",\n".join(x.j for x in r.rows) + "]\n")
 
-        per.foreachPartition(put)
+def uri_of(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
-    write("nodes", nodes, "id", NODE_CHUNK)
-    write("edges", edges, "id", EDGE_CHUNK)
-    for name, tree in (("pkg", pkg), ("topic", topic)):
-        tree.coalesce(1).write.mode("overwrite").json(f"{out}/hierarchy/{name}_tree")
 
-    def put_blobs(rows):
+def _writer(uri: str, name, body):
+    """For foreachPartition: each row becomes a file below ``uri``, on the file system that it names."""
+
+    def put(rows):
+        fs, base = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
         for r in rows:
-            with open(f"{out}/blobs/{r.node_id}.txt", "wb") as f:
-                f.write(r.source)
+            with fs.open_output_stream(f"{base}/{name(r)}") as f:
+                f.write(body(r))
+
+    return put
+
+
+def export(out: str, nodes: DataFrame, edges: DataFrame, pkg: DataFrame, topic: DataFrame, blobs: DataFrame, manifest: Mapping[str, object]) -> None:
+    """A folder a static viewer can read: manifest, both hierarchies as JSON arrays, nodes and edges in
+    numbered JSON chunks, one text file per blob.
+
+    The tasks that hold the rows write the files to the file system of ``out``.  A hierarchy is an array in
+    parts of ``EDGE_CHUNK`` rows, numbered from the second on."""
+    spark = nodes.sparkSession
+    uri = uri_of(spark, out)
+    put_text(spark, f"{out}/manifest.json", json.dumps(manifest, indent=2, ensure_ascii=False))
+
+    def write(folder, df, order, size, name):
+        body = F.to_json(F.struct(*df.columns))
+        at = numbered(df, order, "_n").withColumn("chunk", F.floor(F.col("_n") / size).cast("int"))
+        per = at.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_n", body.alias("j")))).alias("rows"))  # at most ``size`` rows
+        per = per.select("chunk", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["j"]), ",\n"), F.lit("]\n")).alias("body"))
+        per.foreachPartition(_writer(f"{uri}/{folder}", lambda r: name(r.chunk), lambda r: r.body.encode("utf-8")))
 
-    blobs.foreachPartition(put_blobs)
+    write("nodes", nodes, ["id"], NODE_CHUNK, lambda k: f"chunk_{k:04d}.json")
+    write("edges", edges, ["id"], EDGE_CHUNK, lambda k: f"chunk_{k:04d}.json")
+    for kind, tree in (("pkg", pkg), ("topic", topic)):
+        write("hierarchy", tree, ["parent_id", "child_id"], EDGE_CHUNK, lambda k, kind=kind: f"{kind}_tree_{k:04d}.json" if k else f"{kind}_tree.json")
+    blobs.foreachPartition(_writer(f"{uri}/blobs", lambda r: f"{r.node_id}.txt", lambda r: bytes(r.source)))
 
 
 def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -99,9 +130,34 @@ def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(TABLES[kind]).json(f"{path}/{kind}/*.json", multiLine=True)
 
 
-def is_static(path: str) -> bool:
+def is_static(spark: SparkSession, path: str) -> bool:
     """Is the folder an export, as against a persisted graph?"""
-    return os.path.exists(f"{path}/manifest.json") and os.path.isdir(f"{path}/hierarchy")
+    return exists(spark, f"{path}/manifest.json") and exists(spark, f"{path}/hierarchy")
+
+
+class Export:
+    """Queries over an exported folder: roots, children, hierarchy, nodes and edges by id; search finds nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.nodes, self.edges = read_export(spark, path, "nodes"), read_export(spark, path, "edges")
+        self.manifest = json.loads(get_text(spark, f"{path}/manifest.json"))
+
+    def hierarchy(self, kind: str = "pkg") -> DataFrame:
+        tree = self.spark.read.schema(TABLES[f"{kind}_tree"]).json(f"{self.path}/hierarchy/{kind}_tree*.json", multiLine=True)
+        return lookup.hierarchy(kind, tree)
+
+    def children(self, parent: str = "", limit: int = 5000) -> DataFrame:
+        return lookup.children_of(self.nodes, self.hierarchy("pkg"), parent, limit) if parent else lookup.roots(self.nodes, limit)
+
+    def nodes_by_ids(self, ids: Sequence[str]) -> DataFrame:
+        return self.nodes.where(F.col("id").isin(list(ids)))
+
+    def edges_of(self, ids: Sequence[str]) -> DataFrame:
+        return self.edges.where(F.col("src").isin(list(ids)) | F.col("dst").isin(list(ids)))
+
+    def search(self, text: str) -> DataFrame:
+        return self.nodes.limit(0)
 
 
 def manifest_rows(spark: SparkSession, manifest: Mapping[str, object]) -> DataFrame:

@@ -75,15 +75,19 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
 def blobs(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """node_id, source: the bytes [start_byte, end_byte) of each node's file; packages, empty spans
     and spans beyond the file have none.  ``files``: file_path, content (binary), one row per path."""
-    n = nodes.where("type <> 'Package' and start_byte >= 0 and end_byte > start_byte").select("id", "file_path", "start_byte", "end_byte")
-    j = n.join(files.select("file_path", "content"), "file_path").where(F.col("end_byte") <= F.octet_length("content"))
-    return j.select(F.col("id").alias("node_id"), F.expr("substring(content, start_byte + 1, end_byte - start_byte)").alias("source"))
+    n = nodes.where("type <> 'Package' and start_byte >= 0 and end_byte > start_byte")
+    # a file's spans meet its content once; only the slices go on
+    spans = n.groupBy("file_path").agg(F.collect_list(F.struct("id", "start_byte", "end_byte")).alias("spans"))
+    j = spans.join(files.select("file_path", "content"), "file_path")
+    cut = F.expr("transform(filter(spans, x -> x.end_byte <= octet_length(content)), x -> struct(x.id as node_id, substring(content, x.start_byte + 1, x.end_byte - x.start_byte) as source))")
+    return j.select(F.inline(cut))
 
 
 def fingerprint(files: DataFrame, limit: int = 5) -> DataFrame:
     """files (first ``limit`` in walk order) and the sum of their modification times in ns."""
     first = files.orderBy(walk_order()).limit(limit)
-    return first.agg(F.sort_array(F.collect_list("file_path")).alias("files"), F.sum((F.unix_micros("modified") * 1000)).alias("mtime_sum"))
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', modified)") if dict(files.dtypes)["modified"] == "timestamp_ntz" else F.unix_micros("modified")
+    return first.agg(F.sort_array(F.collect_list("file_path")).alias("files"), F.sum(micros * 1000).alias("mtime_sum"))
 
 
 def dump(files: DataFrame, limit: int = 5, size: int = 4000) -> DataFrame:

@@ -115,7 +115,7 @@ def test_package_tree(spark):
 def test_text(spark, small):
     index = text.postings(small.nodes, "id", text.NODE_FIELDS)
     assert text.rewrite("gene").terms == (("gene", True),) and text.rewrite("g").terms == (("g", False),)
-    assert text.rewrite("how does block validation work").terms == (("how", False), ("does", True), ("block", True), ("validation", True), ("work", True))
+    assert text.rewrite("where is a crate weighed first").terms == (("where", True), ("crate", True), ("weighed", True), ("first", True))
     assert text.rewrite("a b").mode == "all" and text.rewrite('"x y"').mode == "phrase" and text.rewrite("검색").mode == "substring"
     assert ids(text.match(index, text.rewrite("func"))) == ["A", "B", "C"]
     assert ids(text.match(index, text.rewrite('"adds a crate"'))) == ["A"] and ids(text.match(index, text.rewrite('"a adds"'))) == []
@@ -123,6 +123,33 @@ def test_text(spark, small):
     assert ids(text.search(small.nodes, index, "mypkg.FuncB", rank="id")) == ["B"]
 
 
+def test_column_filters(spark, small):
+    index = text.postings(small.nodes, "id", text.NODE_FIELDS)
+    assert text.rewrite("{name doc_comment}: crate*") == text.Query("all", (("crate", True),), ("name", "doc_comment"))
+    assert ids(text.match(index, text.rewrite("doc_comment: crate"))) == ["A"] and ids(text.match(index, text.rewrite("name: crate"))) == []
+    assert ids(text.match(index, text.rewrite('doc_comment: "a crate"'))) == ["A"] and text.rewrite("pkg::name").cols == ()
+
+
+def test_modularity_of_cliques(spark):
+    pairs = [(x, y) for g in ("abcd", "efgh") for i, x in enumerate(g) for y in g[i + 1 :]] + [("d", "e")]
+    p = spark.createDataFrame([(*x, 1) for x in pairs], "a string, b string, w bigint")
+    two = spark.createDataFrame([(x, "1" if x < "e" else "2") for x in "abcdefgh"], "id string, comm string")
+    assert abs(community.modularity(p, two).first()[0] - (12 / 13 - 0.5)) < 1e-12
+    assert community.modularity(p.limit(0), two).first()[0] is None
+    assert {(r.comm, r.label) for r in community.dense_labels(two).collect()} == {("1", 0), ("2", 1)}
+
+
+def test_numbers_and_ranges(spark):
+    from loomgraph.operators import skew
+    from loomgraph.sources import store
+
+    e = spark.createDataFrame([edge(None, "b", "a"), edge(None, "a", "b"), edge(None, "a", "b"), edge(None, "a", "a", "defines")], EDGES_DDL)
+    assert [(r.src, r.dst) for r in store.number_edges(e).orderBy("id").collect()] == [("a", "a"), ("a", "b"), ("a", "b"), ("b", "a")]
+    assert ids(store.number_edges(e)) == [1, 2, 3, 4] and store.number_edges(e.limit(0)).count() == 0
+    rows = spark.range(10_000)
+    assert skew.ranges_for(rows) == int(spark.conf.get("spark.sql.shuffle.partitions")) and skew.ranges_for(rows, 1000) == 80
+
+
 def test_resolution(spark):
     cols = NODES_DDL + ", file_ord STRING, ord INT"
     n = spark.createDataFrame([(*node("f1", q="a.Do", path="1.go"), "1", 1), (*node("f2", q="b.Do", path="2.go"), "2", 1), (*node("s", "CallSite", "a.Run#CallSite@9", "1.go"), "1", 5), (*node("r", q="a.Run", path="1.go"), "1", 3)], cols)

@@ -42,7 +42,27 @@ def test_ts_and_sol_rows():
     s = extract.parse_file("contracts/Depot.sol", (MINI / "contracts/Depot.sol").read_text())
     assert {(n["type"], n["qualified_name"]) for n in s.nodes} >= {("Contract", "Depot"), ("Function", "Depot.fill"), ("Modifier", "positive"), ("Event", "Filled"), ("Mapping", "held:mapping"), ("Field", "total")}
     assert {(r["edge_type"], r["target_qname"]) for r in s.pending} == {("has_modifier", "positive"), ("emits_event", "Filled"), ("writes_mapping", "held:mapping")}
-    assert extract.abi(s.nodes) == [("Depot", "fill")]
+    assert extract.PARSERS.of("a/B.SOL")[0] == "sol" and extract.PARSERS.of("a.txt") is None and extract.PARSERS.of(None) is None
+    with pytest.raises(ValueError, match="already"):
+        extract.PARSERS.register(".Go", "go", extract.go)
+    many = "class A {\n" + "".join(f"  m{i}(a: number): {' | '.join(['B'] * 150)} {{ return {{ inner() {{}} }} }}\n" for i in range(3)) + "}\n"
+    assert [n["qualified_name"] for n in extract.parse_file("a.ts", many).nodes if n["type"] == "Method"] == ["A.m0", "A.m1", "A.m2"]
+
+
+def test_abi(spark):
+    from loomgraph.operators import resolve
+
+    rows = [("f0", "Function", "free", 1), ("c1", "Contract", "A", 5), ("f1", "Function", "x", 9), ("c2", "Contract", "B", 20), ("f2", "Function", "y", 30), ("f3", "Function", "z", 40)]
+    n = spark.createDataFrame([(*r, "a.sol", "sol") for r in rows] + [("g", "Function", "w", 1, "b.sol", "sol")], "id string, type string, name string, start_byte int, file_path string, language string")
+    assert {(r.contract, r.function) for r in resolve.abi(n).collect()} == {("A", "x"), ("B", "y"), ("B", "z")}
+    assert resolve.abi(n.limit(0)).count() == 0
+
+
+def test_from_source(spark):
+    from loomgraph.pipeline import from_source
+
+    g = from_source(spark, str(MINI), ["go"])
+    assert {r.language for r in g.nodes.select("language").distinct().collect()} == {"go"} and g.edges.where("type = 'calls'").count() == 1
 
 
 def test_build(built):
@@ -70,16 +90,23 @@ def test_facade(built):
     assert g.context_for_task("zzzz")["not_found"]
     n = g.find_symbol("store.Report").first()
     assert g.blob(n.id).startswith(b"func Report") and g.blob("none") is None
-    assert g.manifest("other")["graph_stale"] in (True, False) and g.hierarchy("topic").count() > 0
+    assert g.manifest("other", 1)["graph_stale"] and not g.manifest()["graph_stale"] and g.hierarchy("topic").count() > 0
 
 
 def test_export(built, spark, tmp_path):
     _, g, _ = built
     g.export(str(tmp_path))
-    assert store.is_static(str(tmp_path)) and store.read_export(spark, str(tmp_path), "nodes").count() == g.nodes.count()
+    assert store.is_static(spark, str(tmp_path)) and store.read_export(spark, str(tmp_path), "nodes").count() == g.nodes.count()
     assert store.read_export(spark, str(tmp_path), "edges").count() == g.edges.count()
     assert json.loads((tmp_path / "manifest.json").read_text())["schema_version"] == "1.0"
     assert len(list((tmp_path / "blobs").iterdir())) == g.blobs.count()
+    tree_file = json.loads((tmp_path / "hierarchy" / "pkg_tree.json").read_text())
+    assert len(tree_file) == g.pkg_tree.count() and set(tree_file[0]) <= {"parent_id", "child_id", "level"}
+    e = store.Export(spark, str(tmp_path))
+    assert e.hierarchy("pkg").count() == g.pkg_tree.count() and e.hierarchy("topic").count() == g.topic_tree.count() and e.search("depot").count() == 0
+    one = g.find_symbol("store.Report").first().id
+    assert [r.id for r in e.nodes_by_ids([one]).collect()] == [one] and e.edges_of([one]).count() == g.edges_of([one]).count()
+    assert sorted(r.id for r in e.children().collect()) == sorted(r.id for r in g.children().collect())
 
 
 def test_ignore(spark):
@@ -88,6 +115,17 @@ def test_ignore(spark):
     assert got == {"vendor/x.go", "a/b.generated.go", "build", "build/q.ts"}
 
 
+def test_eval_command(spark, tmp_path, capsys):
+    from loomgraph.cli import main
+
+    (tmp_path / "t.yaml").write_text('id: T1\nexpected:\n  symbols:\n    - "a.b"\nscoring:\n  type: precision_recall\n')
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"task_id": "T1", "baseline": b, "output": "a.b", "input_tokens": n}) for b, n in (("alpha", 10), ("delta", 4))))
+    assert main(["eval", "--tasks", str(tmp_path / "*.yaml"), "--answers", str(tmp_path / "a.jsonl"), "--out", str(tmp_path / "out"), "--baselines", "alpha,delta"]) == 0
+    assert "H1 token saving: 60.0%" in capsys.readouterr().out
+    rows = spark.read.csv(str(tmp_path / "out"), header=True).collect()
+    assert {(r.baseline, r.score) for r in rows} == {("alpha", "1.0000"), ("delta", "1.0000")} and len(rows[0]) == 9
+
+
 def test_manifest_round_trip(spark):
     m = {"schema_version": "1.0", "languages": {"go": 2}, "ckgignore": ["a"], "parse_errors_count": 3}
     row = store.read_manifest(store.manifest_rows(spark, m), None).first()
@@ -106,5 +144,7 @@ def test_evaluation(spark):
     res = evaluate.run(spark, [t], answer)
     assert {r.baseline: r.score for r in res.collect()} == {"alpha": 0.5, "beta": 0.5, "delta": 0.5}
     assert "H1 token saving: 60.0%" in evaluate.report(res) and "H2 score difference: +0.000" in evaluate.report(res)
+    h = evaluate.hypotheses(res).first()
+    assert (h.h1_text, h.h2_text) == ("60.0%", "+0.000") and evaluate.hypotheses(res.limit(0)).count() == 0
     one = spark.createDataFrame([("The contract uses mapping here", "uses mapping"), (None, "uses mapping"), ("x", "a b")], "o string, r string")
     assert [r[0] for r in one.select(X.rubric_hit(F.col("o"), F.col("r"))).collect()] == [True, False, False]
