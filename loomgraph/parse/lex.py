@@ -209,6 +209,10 @@ def _js_regex(text: str) -> bool:
     return not depth and body[0] not in "*+?"
 
 
+#: Before a bracket whose block belongs to the statements around it.
+_JS_HEADS = _words("if while for with switch catch await")
+_JS_LOOPS = _words("for while do switch")
+_JS_LABEL = re.compile(r"[ \t]+[^\W\d]")
 _JS_BLOCK_BEFORE = _words("; { } => else do try finally")
 
 
@@ -227,6 +231,20 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
     stack: list[tuple[str, bool]] = []
     tags: list[str] = []
     value = False  # does a value end here?
+    closed = ""  # what stood before the ( that was closed last
+    loops = [False]  # per function that surely is one: did a loop or switch begin in it?
+
+    def astray(word: str, at: int) -> bool:
+        """Is a return surely outside of functions, or a break or continue surely outside of loops?"""
+        for x in reversed(stack):
+            if x[0] != "{" or x[2] == "?":
+                return False
+            if x[2] == "f":
+                break
+        else:
+            if word == "return":
+                return True
+        return word != "return" and not loops[-1] and not _JS_LABEL.match(src, at)
 
     def add(k, a, b, val=False):
         nonlocal last, line, value
@@ -426,6 +444,10 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                     end[-1] = pos
                     last, value = "asyncfn", False
                 else:
+                    if w in _JS_LOOPS:
+                        loops[-1] = True
+                    if w in ("return", "break", "continue") and astray(w, pos):
+                        w = ERROR
                     add(w, a, pos, w in _JS_VALUE_ENDS)
             else:
                 add(w if w in context else "IDENT", a, pos, True)
@@ -468,14 +490,19 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                 # after the condition of a statement no value stands
                 add(w, a, pos)
                 before = kind[-2] if len(kind) > 1 else ""
-                stack.append(("(", before not in ("if", "while", "for", "with", "await") if not (len(kind) > 2 and kind[-3] == ".") else True))
+                stack.append(("(", before not in ("if", "while", "for", "with", "await") if not (len(kind) > 2 and kind[-3] == ".") else True, before if not (len(kind) > 2 and kind[-3] == ".") else ""))
             elif w == "[":
                 add(w, a, pos)
                 stack.append(("[", True))
             elif w == "{":
                 block = last in _JS_BLOCK_BEFORE or last == "" or last == ")"
+                if last == "=>" or last == ")" and closed not in _JS_HEADS:
+                    sort = "f"
+                    loops.append(False)
+                else:
+                    sort = "b" if last in (")", "else", "do", "try", "finally", "catch", ";", "") else "?"
                 add(w, a, pos)
-                stack.append(("{", not block))
+                stack.append(("{", not block, sort))
             elif w in ")]}":
                 want = {")": "(", "]": "[", "}": "{"}[w]
                 top = stack[-1] if stack else ("", False)
@@ -487,6 +514,10 @@ def js(src: str, ts: bool, jsx: bool) -> Tokens:
                 if top[0] == want:
                     add(w, a, pos, top[1])
                     stack.pop()
+                    if w == ")":
+                        closed = top[2]
+                    elif w == "}" and top[2] == "f":
+                        loops.pop()
                 else:
                     add(w, a, pos, True)
             elif w in _JS_ASSIGN:
