@@ -180,8 +180,8 @@ def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RAR
     # classes of several repositories are copies as they stand
     single = lines.where("r0 <=> r1")
     # as many entries as the file has lines; those of this repository alone come first
-    entry = F.struct(((F.col("m0") != F.col("r0")) | (F.col("m1") != F.col("r0"))).alias("away"), "df", "h", "a", "z", "b", "y")
-    known = single.join(counts, "h").groupBy("cls", "r0").agg(F.array_sort(F.collect_list(entry)).alias("own")).where(F.size("own") >= shared_min)
+    entry = F.struct(((F.col("m0") != F.col("r0")) | (F.col("m1") != F.col("r0"))).alias("away"), "df", "h")
+    known = single.join(counts.select("h", "df", "m0", "m1"), "h").groupBy("cls", "r0").agg(F.array_sort(F.collect_list(entry)).alias("own")).where(F.size("own") >= shared_min)
     known = known.withColumn("need", F.greatest(F.lit(shared_min), F.ceil(F.lit(contained) * F.size("own")).cast("int")))
     known = scratch.save(known.where(F.size(F.filter("own", lambda x: x["away"])) >= F.col("need")))
     prefix = known.select("cls", "r0", "need", F.explode(F.expr("slice(own, 1, size(own) - need + 1)")).alias("x")).where("x.away")
@@ -190,7 +190,8 @@ def copies(files: DataFrame, rare_share: float = RARE_SHARE, rare_min: int = RAR
         both = pairs.join(known.select("cls", F.col("own.h").alias("own"), "need"), "cls").join(cls.select(F.col("cls").alias("partner"), "hs"), "partner")
         return scratch.save(both.where(F.size(F.array_intersect("own", "hs")) >= F.col("need")).select("cls").distinct())
 
-    hubs = prefix.select("cls", "r0", F.explode(F.array("x.a", "x.z", "x.b", "x.y")).alias("p")).where("cls <> p.cls and not (p.r0 = r0 and p.r1 = r0)").select("cls", F.col("p.cls").alias("partner")).distinct()
+    near = prefix.select("cls", "r0", F.col("x.h").alias("h")).join(counts.select("h", F.array("a", "z", "b", "y").alias("hubs")), "h")
+    hubs = scratch.save(near.select("cls", "r0", F.explode("hubs").alias("p")).where("cls <> p.cls and not (p.r0 = r0 and p.r1 = r0)").select("cls", F.col("p.cls").alias("partner")).distinct())
     quick = confirmed(hubs)
     left = prefix.join(quick, "cls", "left_anti").select("cls", "r0", "need", F.col("x.h").alias("h"))
     partners = lines.select(F.col("cls").alias("partner"), F.col("r0").alias("h0"), F.col("r1").alias("h1"), "size", "h")
