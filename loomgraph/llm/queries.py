@@ -12,8 +12,8 @@ SCORES = ("in_degree", "out_degree", "pagerank", "usage_score")
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """All nodes (newest row per id) in one ranking.  pagerank sums to 1 in each repository, so it
-    is taken relative to the mean of its repository before repositories are compared."""
+    """All nodes (newest row per id) in one ranking: id, probability, rank.  pagerank sums to 1 in each
+    repository, so it is taken relative to the mean of its repository before repositories are compared."""
     n = table(spark, d, "nodes", "id", "file_path", "built_at", *SCORES)
     new = rank_walk.newest(n, "id", "built_at", [*SCORES, "file_path"]).withColumn("repo", F.substring_index("file_path", "/", 1))
     sizes = new.groupBy("repo").agg(F.count(F.lit(1)).alias("repo_nodes"))
@@ -21,6 +21,11 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_walk.rank(scored, "id", SCORES)
 
 
+def p1_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking's probabilities, which SQL can compute by windows over all nodes."""
+    return p1_ranking(spark, d).select("id", F.round("probability", 9).alias("probability"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -80,5 +85,23 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue.found(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p3_found, p3_errors, p3_rates, p4_found, p4_reasons, p5_found, p5_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_reasons)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_ranking, p1_probabilities, p3_found, p3_errors, p3_rates, p4_found, p4_reasons, p5_found, p5_pairs, p7_ids, p8_mix, p8_shares, p9_found, p9_reasons)}
+
+
+def _walk_sql(steps: int = 45) -> str:
+    """The chain over items, step by step: each score's inflow is a running sum over items up to its value."""
+    last = ", ".join(f"{c} DESC NULLS LAST" for c in (*SCORES, "file_path"))
+    out = [
+        f"n AS (SELECT * FROM (SELECT id, file_path, {', '.join(SCORES)}, row_number() OVER (PARTITION BY id ORDER BY built_at DESC NULLS LAST, {last}) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)",
+        "q AS (SELECT id, in_degree::DOUBLE AS a0, out_degree::DOUBLE AS a1, pagerank * count(*) OVER (PARTITION BY split_part(file_path, '/', 1)) AS a2, usage_score AS a3 FROM n)",
+        "k AS (SELECT id, " + ", ".join(f"CASE WHEN isnan(a{i}) OR a{i} < 0 THEN NULL ELSE a{i} END AS s{i}" for i in range(4)) + " FROM q)",
+        "w AS MATERIALIZED (SELECT *, count(*) OVER () AS n, " + ", ".join(f"count(s{i}) OVER ()::DOUBLE / count(*) OVER () / count(s{i}) OVER (ORDER BY s{i} DESC NULLS LAST) AS f{i}" for i in range(4)) + " FROM k)",
+        "r0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE / n AS p FROM w)",
+    ]
+    for t in range(steps):
+        each = " + ".join(f"CASE WHEN s{i} IS NULL THEN sum(p) OVER () / n ELSE sum(p * f{i}) OVER (PARTITION BY s{i} IS NULL ORDER BY s{i}) + coalesce(sum(p) FILTER (s{i} IS NULL) OVER (), 0) / n END" for i in range(4))
+        out.append(f"r{t + 1} AS MATERIALIZED (SELECT * EXCLUDE (p), 0.15::DOUBLE / n + 0.85::DOUBLE / 4 * ({each}) AS p FROM r{t})")
+    return "WITH " + ",\n".join(out) + f" SELECT id, round(p, 9) AS probability FROM r{steps}"
+
+
+ORACLE: dict[str, str] = {"p1_probabilities": _walk_sql()}

@@ -7,9 +7,12 @@ are ordered by their stationary probability.  Only ranks enter, so no score deci
 All distinct values of every score count.  Items of equal scores are one state.  The states lie in
 blocks, cut and sorted by the score with most distinct values; a step sends each block's total
 along and adds prefix sums within blocks, so no task sees all states.  The other scores' inflows, one
-number per distinct value, are summed over blocks and sent to the tasks with each step: what the
-driver holds grows with the distinct values of the second widest score, not with the items.  Items of
-equal probability are ordered by their mean place among the known values of their scores, then by id.
+number per distinct value, are summed over blocks and sent to the tasks with each step.  That is for
+scores of at most ``DRIVER_VALUES`` distinct values in all: counts have few, as D of them that differ sum
+to D (D - 1) / 2 at least, so a trillion edges give at most 1.5 million different degrees.  Where the other
+scores have more, each step groups, prefix-sums and joins every score's values in blocks of their own, and
+the driver holds one number per block.  Both are the same walk.  Items of equal probability are ordered by
+their mean place among the known values of their scores, then by id.
 
 With ``levels`` given, the walk sees a score only through so many rank levels, cut at sampled
 quantiles; that is another, coarser walk, which iterates over 4 x levels numbers on the driver.
@@ -33,6 +36,8 @@ from loomgraph.session import Scratch
 
 #: States that one block may hold, about 20 MB.
 BLOCK = 200_000
+#: Distinct values of all scores but the widest that the driver may hold, 32 MB.
+DRIVER_VALUES = 4_000_000
 DAMPING = 0.85
 TOLERANCE = 1e-12
 MAX_STEPS = 500
@@ -111,7 +116,7 @@ def _blocks(states: DataFrame, main: int, rest: Sequence[int], values: dict[int,
     return ordered.mapInPandas(pack, f"low double, value binary, w binary, n binary, items double, {cols + ', ' if cols else ''}g binary, m binary, total double, mass double, moved double, sums binary")
 
 
-def _chain(base: DataFrame, k: int, weights: Sequence[float], damping: float, scratch: Scratch) -> DataFrame:
+def _chain(base: DataFrame, k: int, weights: Sequence[float], damping: float, scratch: Scratch, driver_values: int = DRIVER_VALUES) -> DataFrame:
     """s0.., p, place of each distinct combination of scores, by the chain over all values."""
     spark = base.sparkSession
     cols = [f"s{i}" for i in range(k)]
@@ -119,6 +124,8 @@ def _chain(base: DataFrame, k: int, weights: Sequence[float], damping: float, sc
     wide = states.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
     main = max(range(k), key=lambda i: wide[i])
     rest = [i for i in range(k) if i != main]
+    if sum(wide[i] for i in rest) > driver_values:
+        return _chain_joins(states, k, weights, damping, scratch)
     share = [w / sum(weights) for w in weights]
     values, single = {}, {}
     for t in rest:
@@ -218,7 +225,78 @@ def _chain(base: DataFrame, k: int, weights: Sequence[float], damping: float, sc
     return blocks.mapInPandas(finish, ", ".join(f"{c} double" for c in [*cols, "p", "place"]))
 
 
-def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[float] | None = None, levels: int | None = None, damping: float = DAMPING) -> DataFrame:
+def _higher(c: str, later: dict[int, float]):
+    """For a block's values: the items at least as high, those of later blocks included."""
+
+    def run(f):
+        f = f.sort_values(c)
+        return f.assign(higher=f["c"].to_numpy()[::-1].cumsum()[::-1] + later[f["blk"].iloc[0]])
+
+    return run
+
+
+def _flow(c: str, part: float):
+    """For a block's values: the prefix sums of what each hands to an item above it."""
+
+    def run(f):
+        f = f.sort_values(c)
+        return f[[c, "blk"]].assign(g=(f["m"] * part / f["higher"]).cumsum())
+
+    return run
+
+
+def _chain_joins(states: DataFrame, k: int, weights: Sequence[float], damping: float, scratch: Scratch) -> DataFrame:
+    """``_chain`` for scores of any number of distinct values: nothing but block totals reaches the driver."""
+    cols = [f"s{i}" for i in range(k)]
+    share = [w / sum(weights) for w in weights]
+    n = states.agg(F.sum("n")).first()[0]
+    values, unknown_items = [], []
+    for c in cols:
+        own = states.groupBy(c).agg(F.sum("n").cast("double").alias("c"))
+        gone = own.where(F.col(c).isNull()).first()
+        unknown_items.append(gone.c if gone else 0.0)
+        known_ = scratch.save(own.where(F.col(c).isNotNull()))
+        parts = max(1, -(-known_.count() // BLOCK))
+        blocks = scratch.save(known_.repartitionByRange(parts, c).withColumn("blk", F.spark_partition_id()))
+        later, total = {}, 0.0
+        for r in sorted(blocks.groupBy("blk").agg(F.sum("c").alias("c")).collect(), reverse=True):  # one row per block
+            later[r.blk], total = total, total + r.c
+
+        values.append(scratch.save(blocks.groupBy("blk").applyInPandas(_higher(c, later), f"{c} double, c double, blk int, higher double")))
+    restart = (1 - damping) / n
+    state = scratch.save(states.withColumn("p", F.lit(1.0 / n)))
+    for _ in range(MAX_STEPS):
+        out = state.withColumnRenamed("p", "old").withColumn("p", F.lit(restart))
+        for i, c in enumerate(cols):
+            mass = scratch.save(state.groupBy(c).agg(F.sum(F.col("n") * F.col("p")).alias("m")))
+            gone = mass.where(F.col(c).isNull()).first()
+            lone = gone.m if gone else 0.0
+
+            sums = scratch.save(values[i].join(mass, c).groupBy("blk").applyInPandas(_flow(c, 1 - unknown_items[i] / n), f"{c} double, blk int, g double"))
+            start, at = [], lone / n
+            for r in sorted(sums.groupBy("blk").agg(F.max("g").alias("g")).collect()):  # one row per block
+                start.append((r.blk, at))
+                at += r.g
+            first = state.sparkSession.createDataFrame(start, "blk int, start double")
+            scale = damping * share[i]
+            got = sums.join(F.broadcast(first), "blk").select(c, (F.lit(scale) * (F.col("g") + F.col("start"))).alias("_g"))
+            # the mass of all known values and of the unknown reaches the unknown evenly
+            out = out.join(got, c, "left").withColumn("p", F.col("p") + F.coalesce("_g", F.lit(scale / n))).drop("_g")
+        new, seen = scratch.measured(out.select(*cols, "n", "p", "old"), moved=F.sum(F.col("n") * F.abs(F.col("p") - F.col("old"))))
+        scratch.drop(state)
+        state = new.drop("old")
+        if seen["moved"] < TOLERANCE:
+            break
+    out, place, seen = state, F.lit(0.0), F.lit(0)
+    for i, c in enumerate(cols):
+        out = out.join(values[i].select(c, F.col("higher").alias(f"_h{i}")), c, "left")
+        place = place + F.coalesce(1 - F.col(f"_h{i}") / F.lit(max(n - unknown_items[i], 1.0)), F.lit(0.0))
+        seen = seen + F.col(c).isNotNull().cast("int")
+    mean = F.when(seen > 0, place / seen).otherwise(0.5)
+    return out.select(*[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cols], F.format_string("%.10e", "p").cast("double").alias("p"), mean.alias("place"))
+
+
+def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[float] | None = None, levels: int | None = None, damping: float = DAMPING, driver_values: int = DRIVER_VALUES) -> DataFrame:
     """``key``, ``probability`` and ``rank`` (1 is best, no rank twice) for each row of ``items``,
     whose keys are distinct and not null.  An empty table gives no rows; with all scores unknown all
     items are equal and the key decides."""
@@ -232,7 +310,7 @@ def rank(items: DataFrame, key: str, scores: Sequence[str], weights: Sequence[fl
     if levels is None:
         cols = [f"s{i}" for i in range(k)]
         items_ = base.select("id", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cols])
-        return _numbered(items_.join(_chain(base, k, weights, damping, scratch), cols).select("id", "p", "place"), key, scratch)
+        return _numbered(items_.join(_chain(base, k, weights, damping, scratch, driver_values), cols).select("id", "p", "place"), key, scratch)
     at = [(j + 1) / levels for j in range(levels - 1)]
     cuts = base.agg(*[F.percentile_approx(f"s{i}", at, 10_000).alias(f"s{i}") for i in range(k)]).first()
     bounds = [np.unique(np.array(cuts[i] or [], dtype=float)) for i in range(k)]

@@ -424,3 +424,15 @@ def test_index_alone_finds_edited_vendored_copies(spark):
 )
 def test_residue_by_shape(text, why):
     assert residue.residue(text) == why
+
+
+def test_rank_walk_of_wide_scores(spark):
+    """The way without values on the driver is the same walk."""
+    r = random.Random(9)
+    rows = [(r.lognormvariate(0, 2) if r.random() < 0.9 else None, float(r.randrange(12)), r.random() if r.random() < 0.8 else None) for _ in range(150)]
+    df = spark.createDataFrame([(f"{i:04}", *x) for i, x in enumerate(rows)], "id string, a double, b double, c double")
+    got = {x.id: x for x in rank_walk.rank(df, "id", ["a", "b", "c"], damping=0.05, driver_values=0).collect()}
+    want = chain(rows, 0.05)
+    assert sorted(x["rank"] for x in got.values()) == list(range(1, 151))
+    for i, w in enumerate(want):
+        assert abs(got[f"{i:04}"].probability / w - 1) < 1e-7

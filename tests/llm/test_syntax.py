@@ -91,3 +91,24 @@ def test_js_refuses(x):
 @pytest.mark.parametrize("x", JS_GOOD + TS_GOOD)
 def test_ts_accepts(x):
     assert first_error("a.ts", x + "\n") is None and (x in TS_GOOD or first_error("a.js", x + "\n") is None)
+
+
+@pytest.mark.parametrize("x", ["break", "return 1", "function f() { break }", "if (a) { continue }", "for (;;) { f(function () { break }) }"])
+def test_stray_jumps(x):
+    assert first_error("a.js", x + "\n") == first_error("a.ts", x + "\n") == 1
+
+
+@pytest.mark.parametrize(
+    "x",
+    [
+        "for(;;) break", "for (;;) { if (a) { break } }", "switch (a) { case 1: { break } default: break }", "function f() { return 1 }", "x = () => { return }", "class A { m() { return 1 } get return() { return 2 } }", "a: { break a }",
+        "while (1) if (x) continue", "f(function () { return })", "x = { return: 1, m() { return 3 } }", "for await (const x of y) { break }", "do { break } while (1)", "try { f() } catch { g() }\nx.return()", "const f = async function* () { for (;;) { return } }",
+    ],
+)
+def test_jumps_in_place(x):
+    assert first_error("a.js", x + "\n") is None and first_error("a.ts", x + "\n") is None
+
+
+@pytest.mark.parametrize("x", ["function f(): { a: number } { return x }", "class A { m(): B { for (;;) { break } return 1 } }", "const f = (a): A => { return 1 }", "namespace N { function g() { return 1 } }"])
+def test_jumps_in_typed_functions(x):
+    assert first_error("a.ts", x + "\n") is None
