@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import estimate_tokens
 from loomgraph.operators import lookup
+from loomgraph.session import Scratch
 
 CANDIDATES, KEEP, BODIES, SUMMARIES, BUDGET = 30, 30, 5, 15, 8000
 
@@ -15,13 +16,17 @@ def pinned(candidates: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """The candidates (id, rank) as a small local table: at most ``most`` rows come to the driver, so
     that the search runs once and not in every step that needs them."""
     rows = candidates.select("id", "rank").orderBy("rank").limit(most).collect()
-    return candidates.sparkSession.createDataFrame([(r.id, r["rank"]) for r in rows], "id string, rank int")
+    out = candidates.sparkSession.createDataFrame([(r.id, r["rank"]) for r in rows], "id string, rank int")
+    out._loom_ids = [r.id for r in rows]
+    return out
 
 
 def expand(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids of the candidates (columns id, rank) and of the nodes beside them."""
-    touching = lookup.incident(edges, candidates)
-    return candidates.select("id").union(touching.select("src")).union(touching.select("dst")).distinct()
+    """Ids of the candidates (columns id, rank) and of the nodes beside them.  Pinned candidates become
+    literals, so that one scan of the edges finds both ends and row groups can be skipped."""
+    ids = getattr(candidates, "_loom_ids", None)
+    touching = lookup.incident(edges, candidates) if ids is None else edges.where(F.col("src").isin(ids) | F.col("dst").isin(ids))
+    return candidates.select("id").union(touching.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
 
 
 def fuse(nodes: DataFrame, ids: DataFrame, candidates: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -29,7 +34,7 @@ def fuse(nodes: DataFrame, ids: DataFrame, candidates: DataFrame, keep: int = KE
     scores count 0.  The two maxima are scalars over the expanded set."""
     pr = F.coalesce(F.when(~F.isnan("pagerank"), F.col("pagerank")), F.lit(0.0))
     us = F.coalesce(F.when(~F.isnan("usage_score"), F.col("usage_score")), F.lit(0.0))
-    near = lookup.nodes_by_ids(nodes, ids)
+    near = Scratch(nodes.sparkSession, "fuse").save(lookup.nodes_by_ids(nodes, ids))
     top = near.agg(F.greatest(F.lit(1e-9), F.max(pr)).alias("p"), F.greatest(F.lit(1e-9), F.max(us)).alias("u")).first()
     score = 0.5 * F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)) + 0.3 * pr / F.lit(top.p or 1e-9) + 0.2 * us / F.lit(top.u or 1e-9)
     return near.join(candidates.select("id", "rank"), "id", "left").withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "id").limit(keep)

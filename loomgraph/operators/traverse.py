@@ -67,7 +67,8 @@ def subgraph(nodes: DataFrame, edges: DataFrame, qname: str, depth: int, distinc
 
 def undirected(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst")
-    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("type", F.lit(""))
+    # each round of a search makes its frontier distinct, so repeated edges need no exchange of their own
+    return e.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).withColumn("type", F.lit(""))
 
 
 def hop_distance(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loomgraph-")
     atexit.register(shutil.rmtree, made, True)

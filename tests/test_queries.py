@@ -6,11 +6,10 @@ from tests.compare import DATA, entry_module, same
 
 E = entry_module()
 Q, O = E.queries(), E.oracle_sql()
-SLOW = {"pagerank"}
 
 
 @pytest.mark.skipif(not (DATA / "sf0.001").exists(), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in O if n not in SLOW])
+@pytest.mark.parametrize("name", list(O))
 def test_same(spark, name):
     ok, note = same(spark, str(DATA / "sf0.001"), Q[name], O[name])
     assert ok, note
