@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from loomgraph.session import Scratch
 
 
+#: Levels of leaves taken off before cycles are sought.  It saves work and changes no result.
+LEAF_ROUNDS = 2
+
+
 def _key(group: Sequence[str]):
     """The groups as one string; null and empty ones differ."""
     return F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in group]) if group else F.lit("")
@@ -194,7 +198,11 @@ def cycle_nodes(links: DataFrame, group: Sequence[str], parent: str, child: str)
     scratch = Scratch(links.sparkSession, "cycles")
     plain = scratch.save(_plain(links, group, parent, child).where("p is not null"))
     names = _groups(len(group))
-    found = _cyclic_links(plain.where("p <> c").select("g", "p", "c"), scratch).select("g", "c").distinct()
+    inner = plain.where("p <> c").select("g", "p", "c")
+    for _ in range(LEAF_ROUNDS):
+        # most nodes of a tree are leaves, and none of them is on a cycle
+        inner = scratch.save(inner.join(inner.select("g", F.col("p").alias("c")).distinct(), ["g", "c"], "left_semi").select("g", "p", "c"))
+    found = _cyclic_links(inner, scratch).select("g", "c").distinct()
     # the group's own values come back from one of the node's links
     hits = plain.join(found, ["g", "c"], "left_semi").select("g", "c", *names)
     both = hits.union(plain.where("p = c").select("g", "c", *names)).dropDuplicates(["g", "c"])
