@@ -570,8 +570,8 @@ def common_prefix(spark, d):
 
 @query()
 def communities(spark, d):
-    g = _g(spark, d)
-    return community.communities(g.nodes, g.edges)
+    # of the nodes only ids are asked for, so no row has to be picked
+    return community.communities(table(spark, d, "nodes").where("id IS NOT NULL"), _g(spark, d).edges)
 
 
 # --- sources, manifest, export -------------------------------------------------------------------

@@ -1,10 +1,13 @@
 """Small graphs with known answers."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.graph import InvalidGraph, PropertyGraph, distinct_edges, latest
-from loomgraph.operators import community, lookup, packages, resolve, score, text, traverse
+from loomgraph.operators import community, lookup, moving, packages, resolve, score, text, traverse
 from loomgraph.schema import EDGES_DDL, NODE_COLS, NODES_DDL
 
 
@@ -100,6 +103,49 @@ def test_two_cliques(spark):
     assert sorted(map(sorted, groups.values())) == [left, ["alone"], right]
 
 
+def _tangle(spark, n=300, m=900):
+    """A graph with clusters, a hub, repeated edges, loops and isolated nodes."""
+    rng = random.Random(7)
+    ends = [(i, rng.choice([0, i // 30 * 30 + rng.randrange(30), i // 30 * 30 + rng.randrange(30), rng.randrange(n)])) for i in (rng.randrange(n) for _ in range(m))]
+    return spark.createDataFrame([node(f"n{i:03}") for i in range(n + 5)], NODES_DDL), spark.createDataFrame([edge(i, f"n{a:03}", f"n{b:03}") for i, (a, b) in enumerate(ends)], EDGES_DDL)
+
+
+def test_communities_take_few_jobs(spark):
+    n, e = _tangle(spark)
+    sc = spark.sparkContext
+    sc.setJobGroup("communities", "")
+    got = community.communities(n, e).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("communities"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 3 * n.count() and jobs < 40
+
+
+@pytest.mark.parametrize("held", [0, 100])
+def test_communities_in_joins_and_in_arrays_are_the_same(spark, held):
+    """held 0: all levels in joins; 100: the first in joins, the others in arrays."""
+    n, e = _tangle(spark, 60, 150)
+    want = {(r.resolution, r.node_id, r.community) for r in community.communities(n, e, gammas=[0.5, 2.0]).collect()}
+    assert {(r.resolution, r.node_id, r.community) for r in community.communities(n, e, gammas=[0.5, 2.0], held=held).collect()} == want
+
+
+def test_moving_in_arrays(spark, monkeypatch):
+    assert [r.h % 2**64 for r in spark.range(-3, 1000).select(F.xxhash64("id").alias("h")).collect()] == moving.spark_hash(np.arange(-3, 1000)).tolist()
+    rng = np.random.default_rng(3)
+    a, b, w = rng.integers(0, 200, 700), rng.integers(0, 200, 700), rng.integers(1, 5, 700)
+
+    def levels(scale=1):
+        return moving.levels([a * scale, b * scale, w.copy()], 1.0, 2.0 * w.sum(), 50, 50)
+
+    ids, comm, _ = levels()
+    assert set(ids) == set(a) | set(b) and len(set(comm)) < 40 and set(comm) <= set(ids)
+    far = levels(10**14)  # ids too far apart for a table of them; other hashes, so other rounds
+    assert list(far[0]) == list(ids * 10**14) and set(far[1]) <= set(far[0])
+    monkeypatch.setattr(moving, "CHUNK", 50)  # chunks of a few nodes
+    assert list(levels()[1]) == list(comm)
+    monkeypatch.setattr(moving, "_by_key", lambda key, w, most, top: (key[o := np.argsort(key, kind="stable")], w[o]))
+    assert list(levels()[1]) == list(comm)
+
+
 def test_labels(spark):
     rows = [("c", "1", "validateA", "pkg.validateA", 0.1), ("c", "2", "validateB", "pkg.validateB", 0.5), ("c", "3", "validateC", "pkg.validateC", None), ("d", "4", "x", "x", float("nan"))]
     m = spark.createDataFrame(rows, "comm string, id string, name string, qualified_name string, pagerank double")
